@@ -15,14 +15,15 @@ PARTITION_BYTES = 64 << 20
 _PRIME, _TIMES = 2147483647, 40503
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``; 0 if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def partitions(df: DataFrame, per_partition: int = PARTITION_BYTES) -> int:
     """Shuffle partitions for an operator: the session's number, or more for an input of known larger size."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 50:  # beyond, Spark only says that it doesn't know
-        n = max(n, -(-size // per_partition))
-    return n
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // per_partition))
 
 
 def ready(spark: SparkSession) -> None:

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelica.llm.common import binaries, cut, hash_buckets, id_bucket, pack, partitions, string_array, unpack
+from allelica.llm.common import binaries, cut, hash_buckets, id_bucket, input_bytes, pack, partitions, string_array, unpack
 from allelica.llm.textblocks import Words, buffers, mix, slices, window_starts, windows
 
 _BLOCK = "to int, src int, n int, h binary, x binary, lo binary, span binary"
 _REPLY = "bucket int, n int, h binary, x binary, lo binary, span binary"
 _MARKS = 1 << 20
+#: Least input of a bucket.
+BUCKET_BYTES = 1 << 20
 _SALT = np.uint64(0x51ED270B7A3F4A21)
 
 
@@ -284,7 +286,8 @@ def _setup(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     if window < 2:
         raise ValueError("window must be at least 2 words")
     parts = partitions(docs)
-    buckets = 2 * parts
+    # smaller buckets would send blocks of a few numbers to each other
+    buckets = min(2 * parts, max(8, input_bytes(docs) // BUCKET_BYTES))
     return _inputs(docs, id_col, text_col, buckets, parts), buckets, parts, (window + 1) // 2
 
 

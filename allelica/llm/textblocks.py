@@ -25,6 +25,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+#: Separates runs of letters, digits and bytes beyond ASCII.
+NOT_ALNUM = np.array([not (b >= 0x80 or chr(b).isalnum()) for b in range(256)])
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _LONG_WORD = 64
 
@@ -88,10 +90,10 @@ class Words:
     document (one more entry than documents), ``hash`` the words' hashes.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE):
         n = len(data)
         self.data = _LOWER[data] if lower else data
-        solid = ~_SPACE[data]
+        solid = ~between[data]
         before = np.empty(n, dtype=bool)
         after = np.empty(n, dtype=bool)
         if n:
