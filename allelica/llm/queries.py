@@ -7,11 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelica.llm.common import crc_part
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules on host and path that op1 judges by.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm import urls
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.train(pages, URL_RULES)
+    return urls.judge(pages, model, URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, crc_part("doc_id", 4) != 2)
+    out = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return out.withColumn("held_out", crc_part("doc_id", 4) == 2)
+
+
+def _scored(out: DataFrame, modulus: int, rest: int) -> DataFrame:
+    out = out.withColumnRenamed("id", "doc_id").withColumn("held_out", crc_part("doc_id", modulus) == rest)
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm import audio
+
+    return audio.digests(audio.store(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), crc_part("doc_id", 3) != 1)
+    return _scored(quality.score(docs, model), 3, 1)
+
+
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), crc_part("doc_id", 5) != 0)
+    out = toxicity.score(docs, model).withColumn("n_segments", F.size("spans").cast("long")).drop("spans")
+    return _scored(out, 5, 0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from allelica.llm.substring import remove_repeated
 
@@ -80,6 +131,11 @@ FROM d LEFT JOIN size USING (doc_id) LEFT JOIN rep ON rep.h = size.h AND rep.n =
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op4_language_id": op4_language_id,
+    "op6_telephony_audio": op6_telephony_audio,
+    "op7_quality_nbsvm": op7_quality_nbsvm,
+    "op10_toxic_segments": op10_toxic_segments,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_minhash_neardup": op8_minhash_neardup,
 }
