@@ -100,6 +100,33 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm.capfilter import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98).withColumnRenamed("id", "vec_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT vec_id, label, v, list_dot_product(v, v) AS q
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+), ok AS MATERIALIZED (
+  SELECT * FROM e WHERE label IS NOT NULL AND q > 0 AND isfinite(q) AND len(list_filter(v, lambda x: x IS NULL)) = 0
+), link AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(a.q * b.q) >= 0.98
+), reach(id, r) AS (
+  SELECT vec_id, vec_id FROM e UNION SELECT y, r FROM reach JOIN link ON x = id
+), comp AS (
+  SELECT id, min(r) AS c FROM reach GROUP BY id
+), n AS (
+  SELECT x, count(*) AS n FROM link GROUP BY x
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, c = e.vec_id AS kept
+FROM e JOIN comp ON comp.id = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -138,9 +165,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxic_segments": op10_toxic_segments,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op9_cap_filters": op9_cap_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op8_minhash_neardup": OP8_SQL,
+    "op9_cap_filters": OP9_SQL,
 }
