@@ -15,36 +15,28 @@ from allelica.llm.common import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The connected components of a graph, as ``node`` and ``component`` (its smallest node).
 
-    Alternates the large-star and small-star steps, each an aggregation and a
-    join; every round is written to the checkpoint folder.  Edges with a null
-    end and loops are left out; nodes without other edges are not returned.
+    Edges point from the larger to the smaller node.  A round replaces each
+    edge's smaller end by that node's own least neighbour (large star), then links
+    the ends that a node has to the least of them (small star), until every
+    node has one edge and no end has any.  A round shuffles three times and is
+    written to the checkpoint folder.  Edges with a null end and loops are left
+    out; nodes without other edges are not returned.
     """
-    e = cut(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
-    seen = _state(e)
-    while seen[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.distinct().join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = _state(e)
-        if now == seen:
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e = cut(e.repartition("u").distinct())
+    while True:
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if low.where("n > 1").isEmpty() and e.join(low.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        seen = now
+        x = e.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("w")).repartition("u")
+        least = x.groupBy("u").agg(F.min("w").alias("m"))
+        ends = x.join(least, "u").where("w > m").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        e = cut(ends.unionByName(least.select("u", F.col("m").alias("v"))).repartition("u").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _state(e: DataFrame) -> tuple:
-    """Number of edges and a hash of them that doesn't depend on order."""
-    r = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, r.h, r.s
-
-
 def block_tasks(rows: DataFrame, key: str, row_id: str, limit: int, weight: Column | None = None, heavy: int = 0) -> DataFrame:
     """Deals rows that must be compared within ``key`` to tasks of bounded size.
 
