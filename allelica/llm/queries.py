@@ -26,6 +26,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, model, URL_RULES).withColumnRenamed("id", "page_id")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), capacity=1024).withColumnRenamed("id", "doc_id")
+
+
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from allelica.llm.mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"), most_epochs=2.0)
+    return out.select("doc_id", "source", "epoch", "place")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from allelica.llm import langid
 
@@ -159,6 +172,8 @@ FROM d LEFT JOIN size USING (doc_id) LEFT JOIN rep ON rep.h = size.h AND rep.n =
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_temperature_mixing": op3_temperature_mixing,
     "op4_language_id": op4_language_id,
     "op6_telephony_audio": op6_telephony_audio,
     "op7_quality_nbsvm": op7_quality_nbsvm,

@@ -153,8 +153,9 @@ def _window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, (x >> np.uint64(32)).astype(np.uint32)
 
 
-def _inputs(docs: DataFrame, id_col: str, text_col: str, buckets: int, parts: int) -> DataFrame:
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _inputs(docs: DataFrame, id_col: str, text_col: str, buckets: int, parts: int, carry: list[str]) -> DataFrame:
+    more = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
     return d.withColumn("bucket", id_bucket(F.col("id"), buckets)).repartition(parts, "bucket")
 
 
@@ -236,7 +237,7 @@ def _emit_doubled(size: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.
     return emit
 
 
-def _mark(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _mark(window: int, carried: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def mark(t: pa.Table, reply: pa.Table) -> pa.Table:
         found = _Known(reply)
         ids, known = _ids(t)
@@ -255,12 +256,9 @@ def _mark(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 gone[hit + window] -= 1
             keep = np.cumsum(gone[:n]) == 0
             text, offsets, kept = _join_words(data, words, keep)
-            out.append(
-                pa.table(
-                    [t["id"].slice(i, j - i).combine_chunks(), pa.array(words.counts, pa.int64()), pa.array(words.counts - kept, pa.int64()), string_array(text, offsets)],
-                    names=["id", "n_words", "n_removed", "kept_text"],
-                )
-            )
+            more = [f"c{k}" for k in range(carried)]
+            own = [t["id"].slice(i, j - i).combine_chunks(), pa.array(words.counts, pa.int64()), pa.array(words.counts - kept, pa.int64())]
+            out.append(pa.table([*own, string_array(text, offsets), *[t[c].slice(i, j - i) for c in more]], names=["id", "n_words", "n_removed", "kept_text", *more]))
         return pa.concat_tables(out)
 
     return mark
@@ -282,13 +280,13 @@ def _join_words(data: np.ndarray, words: Words, keep: np.ndarray) -> tuple[np.nd
     return spaced[inside], np.concatenate([[0], np.cumsum(length)]), kept
 
 
-def _setup(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, int, int, int]:
+def _setup(docs: DataFrame, id_col: str, text_col: str, window: int, carry: tuple[str, ...] | list[str] = ()) -> tuple[DataFrame, int, int, int]:
     if window < 2:
         raise ValueError("window must be at least 2 words")
     parts = partitions(docs)
     # smaller buckets would send blocks of a few numbers to each other
     buckets = min(2 * parts, max(8, input_bytes(docs) // BUCKET_BYTES))
-    return _inputs(docs, id_col, text_col, buckets, parts), buckets, parts, (window + 1) // 2
+    return _inputs(docs, id_col, text_col, buckets, parts, list(carry)), buckets, parts, (window + 1) // 2
 
 
 def _repeated(dealt: DataFrame, window: int, base: int, buckets: int, parts: int, only_later: bool) -> DataFrame:
@@ -300,7 +298,7 @@ def _repeated(dealt: DataFrame, window: int, base: int, buckets: int, parts: int
     return by(wide, "to").applyInArrow(_answers(only_later), _REPLY)
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Removes every word covered by a window of ``window`` words that also starts in a document with a smaller id.
 
     Windows are judged on the input, not on what is left.  Returns one row for
@@ -311,15 +309,17 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty texts have no words.  Rows with a null id are returned with
     nothing removed, and are nobody's earlier document.  Rows with equal ids
-    count as one document: they don't remove from each other.  Other columns of
-    the input, whatever their names, are not read.
+    count as one document: they don't remove from each other.  Columns named in
+    ``carry`` are returned too, as ``c0``, ``c1`` and so on, so that they clash
+    with nothing; other columns of the input are not read.
     """
-    dealt, buckets, parts, base = _setup(docs, id_col, text_col, window)
+    dealt, buckets, parts, base = _setup(docs, id_col, text_col, window, carry)
     later = _repeated(dealt, window, base, buckets, parts, True)
+    more = [f"c{k} {dealt.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(carry))]
     return (
         dealt.groupBy("bucket")
         .cogroup(later.repartition(parts, "bucket").groupBy("bucket"))
-        .applyInArrow(_mark(window), "id long, n_words long, n_removed long, kept_text string")
+        .applyInArrow(_mark(window, len(carry)), ", ".join(["id long, n_words long, n_removed long, kept_text string", *more]))
     )
 
 
