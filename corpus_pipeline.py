@@ -1,7 +1,76 @@
-"""Placeholder until all stages exist."""
-STAGES: list = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last return the columns of ``documents``.  :func:`run` applies them in order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from allelica.llm import minhash, mixing, packing, quality, substring
+
+#: Columns of ``documents``.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle, similarity in percent, words of a repeated passage, most epochs of a source, words of a bin.
+SHINGLE, PERCENT, WINDOW, MOST_EPOCHS, CAPACITY = 5, 80, 13, 2.0, 1024
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out what the quality classifier rejects. It learns from all labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, F.lit(True))
+    return quality.split_low(docs.select(*COLUMNS), model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the document with the smallest id of each group of near-duplicates.
+
+    Documents without words and rows with a null id are in no group and stay;
+    of rows with equal ids one stays.
+    """
+    kept = minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept and id is not null")
+    known = docs.select(*COLUMNS).where("doc_id is not null")
+    one = known.join(kept.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document has; a document of which nothing is left goes."""
+    out = substring.remove_repeated(docs, window=WINDOW, carry=COLUMNS)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("c1"))
+    out = out.where("n_removed = 0 or n_removed < n_words").select(F.col("c0").alias("doc_id"), text.alias("text"), F.col("c2").alias("lang"), F.col("c3").alias("source"), F.col("c4").alias("old"), "n_removed")
+    n = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("old"))
+    return out.withColumn("n_chars", n).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of smaller sources, up to a limit, towards equal weights; none is left out."""
+    return mixing.mix(docs.select(*COLUMNS), most_epochs=MOST_EPOCHS).select(*COLUMNS)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs documents into bins; repeats of a document are one duplicate cluster, and never share a bin."""
+    out = packing.pack(docs, capacity=CAPACITY, cluster=F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeats),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_bins),
+]
+
+#: The classifier and the packing are iterative; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
