@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from allelica.operators.compare import clusterable, symmetric
-
 METHODS = ("single", "complete", "average", "weighted", "centroid", "median", "ward")
 
 
@@ -74,14 +72,26 @@ def flat_clusters(merges: list[tuple[int, int, float, int]], n: int, height: flo
     return np.array([order.setdefault(r, len(order) + 1) for r in roots], dtype=int)
 
 
-def _cluster(height: float, method: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _cluster(height: float, method: str, least_compared: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def cluster(p: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(p["name1"]))
-        m = p.pivot(index="name1", columns="name2", values="dist").reindex(index=names, columns=names).to_numpy(float)
-        m = np.where(np.isnan(m), 1.0, m)
-        np.fill_diagonal(m, 0.0)
-        c = flat_clusters(linkage((m + m.T) / 2, method), len(names), height)
-        return pd.DataFrame({"genome": p["genome"].iloc[0], "sample": names, "number": c})
+        none = pd.DataFrame({"genome": [], "sample": [], "number": []}).astype({"genome": str, "sample": str, "number": int})
+        similar = p["popANI"].to_numpy(float)
+        if least_compared is not None:
+            if (p["compared_bases_count"] == 0).any():
+                return none
+            similar = np.where(p["percent_compared"].to_numpy(float) < least_compared, 0.0, similar)
+        names = sorted({*p["name1"], *p["name2"]})
+        at = {s: k for k, s in enumerate(names)}
+        total, n = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)))
+        for a, b, x in zip(p["name1"], p["name2"], similar):
+            if not np.isnan(x):
+                for i, j in ((at[a], at[b]), (at[b], at[a])):
+                    total[i, j] += x
+                    n[i, j] += 1
+        # the mean of both directions; what was never compared is as far apart as can be
+        d = np.where(n > 0, 1.0 - total / np.maximum(n, 1), 1.0)
+        np.fill_diagonal(d, 0.0)
+        return pd.DataFrame({"genome": p["genome"].iloc[0], "sample": names, "number": flat_clusters(linkage(d, method), len(names), height)})
 
     return cluster
 
@@ -92,24 +102,24 @@ def strain_clusters(genomes: DataFrame, ani: float = 0.99999, method: str = "ave
     Genomes with a comparison without bases are left out. Clusters are called
     ``<genome>_<cluster>``, genomes being numbered by name among those clustered.
     """
-    ok = clusterable(genomes)
-    far = ok.withColumn("similar", F.when(F.col("percent_compared") < least_compared, F.lit(0.0)).otherwise(F.col("popANI")))
-    return _named(symmetric(far, "similar", ["genome"]).withColumn("dist", F.lit(1.0) - F.col("similar")), 1.0 - ani, method)
+    return _named(genomes, 1.0 - ani, method, least_compared)
 
 
 def recluster(genomes: DataFrame, ani: float = 99.0, method: str = "single") -> DataFrame:
     """Clusters again by an ANI in percent, whatever the share compared; what was never compared is far apart."""
-    d = symmetric(genomes, "popANI", ["genome"]).withColumn("dist", F.lit(1.0) - F.coalesce("popANI", F.lit(0.0)))
-    return _named(d, 1.0 - ani / 100.0, method)
+    return _named(genomes, 1.0 - ani / 100.0, method, None)
 
 
-def _named(d: DataFrame, height: float, method: str) -> DataFrame:
+def _named(genomes: DataFrame, height: float, method: str, least_compared: float | None) -> DataFrame:
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    cols = ["genome", "name1", "name2", "popANI"] + ([] if least_compared is None else ["compared_bases_count", "percent_compared"])
     # a hair of slack: heights are sums of rounded numbers
-    c = d.select("genome", "name1", "name2", "dist").groupBy("genome").applyInPandas(_cluster(height + 1e-12, method), "genome string, sample string, number int")
-    rank = c.select("genome").distinct()
-    # genomes are few: as many rows as there are clustered genomes
-    rank = rank.withColumn("index", F.row_number().over(Window.orderBy("genome")) - 1)
-    return c.join(rank, "genome").select("genome", "sample", F.concat_ws("_", "index", "number").alias("cluster"))
+    c = genomes.select(*cols).groupBy("genome").applyInPandas(_cluster(height + 1e-12, method, least_compared), "genome string, sample string, number int")
+    one = c.groupBy("genome").agg(F.collect_list(F.struct("sample", "number")).alias("all"))
+    # one row for each clustered genome
+    ranked = one.withColumn("index", F.row_number().over(Window.orderBy("genome")) - 1).withColumn("x", F.explode("all"))
+    return ranked.select("genome", F.col("x.sample").alias("sample"), F.concat_ws("_", "index", "x.number").alias("cluster"))
 
 
 def greedy_clusters(genomes: DataFrame, ani: float = 0.99999, overlap: float = 0.5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from allelica.functions.bases import BASES, present, ratio
 from allelica.operators.nullmodel import min_bases
+from allelica.plans.lineage import cut
 from allelica.plans.mm import carry_forward, collapse
 
 MIN_COV, MIN_FREQ = 5, 0.05
@@ -141,7 +142,7 @@ def genome_comparison(comparison: DataFrame, stb: DataFrame, genome_lengths: Dat
 
 def symmetric(comparison: DataFrame, value: str, group: list[str]) -> DataFrame:
     """All ordered pairs of samples of each group: the mean of both directions, 1 with itself, null if never compared."""
-    a = comparison.select(*group, "name1", "name2", value)
+    a = cut(comparison.select(*group, "name1", "name2", value))  # read three times
     both = a.unionByName(a.select(*group, F.col("name1").alias("name2"), F.col("name2").alias("name1"), value))
     mean = both.groupBy(*group, "name1", "name2").agg(F.avg(value).alias(value))
     names = both.select(*group, "name1").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelica.functions.bases import BASES
+from allelica.operators.pileup import draws_between
 from allelica.plans.mm import collapse, cumulate
 
 MIN_SNP = 20
@@ -101,7 +102,7 @@ def rarefied(table: DataFrame, n: int = MIN_SNP, seed: int = 0) -> DataFrame:
     d, below, picks = table.withColumn("u", u), F.lit(0).cast("long"), []
     for k in range(4):
         lo, hi = below, below + F.col("counts")[k]
-        picks.append(F.size(F.filter("u", lambda x, lo=lo, hi=hi: (x >= lo) & (x < hi))))
+        picks.append(draws_between("u", lo, hi))
         below = hi
     d = d.withColumns({f"_p{k}": p for k, p in enumerate(picks)})
     r2, dp = disequilibrium(*[F.col(f"_p{k}") for k in range(4)])

@@ -36,7 +36,7 @@ def paired(events: DataFrame, keys: list[str], start: str = "start", end: str =
     g = events.groupBy(*keys).agg(
         first(start, "time").alias("started"), first(end, "time").alias("ended"), first(start, "ram").alias("ram_start"), first(end, "ram").alias("ram_end"), F.count_if(F.col("status") == start).alias("runs")
     )
-    seconds = F.unix_micros("ended") / 1e6 - F.unix_micros("started") / 1e6
+    seconds = (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
     return g.where("runs > 0").select(*keys, seconds.alias("runtime"), (F.col("ram_end") - F.col("ram_start")).alias("ram_change"), "runs")
 
 
@@ -59,9 +59,10 @@ def failures(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bytes_text(n: Column) -> Column:
-    """Bytes as text with one decimal and a unit, in steps of 1024."""
+    """Bytes as text with one decimal and a unit, in steps of 1024; halves round to even."""
     size = n.cast("double")
-    out = F.format_string("%.1f%s", size / 1024.0**8, F.lit("YiB"))
+    text = lambda x, unit: F.format_string("%.1f%s", F.bround(x, 1), F.lit(unit))
+    out = text(size / 1024.0**8, "YiB")
     for k, u in reversed(list(enumerate(["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB"]))):
-        out = F.when(F.abs(size) < 1024.0 ** (k + 1), F.format_string("%.1f%s", size / 1024.0**k, F.lit(u))).otherwise(out)
+        out = F.when(F.abs(size) < 1024.0 ** (k + 1), text(size / 1024.0**k, u)).otherwise(out)
     return out

@@ -63,6 +63,10 @@ def table(spark: SparkSession, deepest: int = DEEPEST, fdr: float = FDR) -> Data
     return d.withColumn("min_bases", min_bases(F.col("coverage"), steps(fdr, ERROR, deepest)))
 
 
+def _between(column: str, low: float, high: float) -> Column:
+    return F.size(F.filter(column, lambda x: (x >= low) & (x < high)))
+
+
 def simulate(spark: SparkSession, deepest: int, bootstraps: int, error: float = ERROR, seed: int = 0) -> DataFrame:
     """The table of probabilities by simulation: ``coverage``, ``errors``, ``probability``.
 
@@ -75,7 +79,7 @@ def simulate(spark: SparkSession, deepest: int, bootstraps: int, error: float =
     # a draw's number of errors on each base, by one uniform number for each read
     u = F.transform(F.sequence(F.lit(1), F.col("coverage")), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("coverage"), F.col("boot"), i), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     draws = draws.withColumn("u", u)
-    counts = [F.size(F.filter("u", lambda x, k=k: (x >= k * error / 3) & (x < (k + 1) * error / 3))) for k in range(3)]
+    counts = [_between("u", k * error / 3, (k + 1) * error / 3) for k in range(3)]
     got = draws.select("coverage", F.explode(F.array(*counts)).alias("n")).where("n > 0")
     got = got.withColumn("errors", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return got.groupBy("coverage", "errors").agg((F.count("*") / F.lit(bootstraps)).alias("probability"))

@@ -157,6 +157,11 @@ def reference_differences(snvs: DataFrame, levels: DataFrame, keys: list[str]) -
     )
 
 
+def draws_between(column: str, low: Column, high: Column) -> Column:
+    """How many numbers of an array lie in ``[low, high)``."""
+    return F.size(F.filter(column, lambda x: (x >= low) & (x < high)))
+
+
 def rarefy(cum: DataFrame, keys: list[str], n: int = RAREFIED, seed: int = 0) -> DataFrame:
     """Clonality of ``n`` reads drawn from each site deep enough, seeded by the site, whatever the partitioning."""
     d = cum.where(total() >= n)
@@ -166,6 +171,6 @@ def rarefy(cum: DataFrame, keys: list[str], n: int = RAREFIED, seed: int = 0) ->
     for b in BASES:
         edges.append((below, below + F.col(b)))
         below = below + F.col(b)
-    picks = [F.size(F.filter("u", lambda x, lo=lo, hi=hi: (x >= lo) & (x < hi))) for lo, hi in edges]
+    picks = [draws_between("u", lo, hi) for lo, hi in edges]
     s = sum((p / n) * (p / n) for p in picks)
     return d.select(*keys, "position", "mm", s.alias("clonality_rarefied"))

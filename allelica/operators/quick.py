@@ -15,7 +15,7 @@ def contig_coverage(reads: DataFrame, lengths: DataFrame, cutoff: float = 0.0) -
 
     Covered bases come from merging the reads' spans, which grows with the reads, not with their bases.
     """
-    spans = reads.join(lengths, "scaffold").select("scaffold", "length", F.greatest("ref_start", F.lit(0)).alias("a"), F.least(F.col("ref_end") + 1, F.col("length")).alias("b")).where("a < b")
+    spans = reads.select("scaffold", "ref_start", "ref_end").join(lengths, "scaffold").select("scaffold", "length", F.greatest("ref_start", F.lit(0)).alias("a"), F.least(F.col("ref_end") + 1, F.col("length")).alias("b")).where("a < b")
     # equal spans first, so that a deep scaffold's window holds no more rows than it has different spans
     d = spans.groupBy("scaffold", "length", "a", "b").agg(F.count("*").alias("n"))
     before = Window.partitionBy("scaffold").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)

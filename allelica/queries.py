@@ -160,11 +160,11 @@ FRAGMENTS = ad.SQL | {
         ON g.scaffold = c.scaffold AND c.position BETWEEN g.start AND g."end" GROUP BY c.sample, c.scaffold, g.gene, c.mm, g.start, g."end")""",
     "muts": """mu0 AS (SELECT * FROM last WHERE allele_count BETWEEN 1 AND 2),
         mu1 AS (SELECT m.sample, m.scaffold, m.position, count(*) AS k, string_agg(g.gene, ',' ORDER BY g.gene) AS gene FROM mu0 m JOIN gens g ON g.scaffold = m.scaffold AND m.position BETWEEN g.start AND g."end" GROUP BY 1, 2, 3),
-        mu2 AS (SELECT m.*, coalesce(u.k, 0) AS k, u.gene, g.start AS gs, g.sequence AS gseq, g.direction, CASE WHEN g.direction = -1 THEN g."end" - m.position ELSE m.position - g.start END AS at
+        mu2 AS (SELECT m.*, coalesce(u.k, 0) AS k, u.gene, g.start AS gs, g.sequence AS gseq, g.direction, CASE WHEN g.direction = -1 THEN g."end" - m.position ELSE m.position - g.start END AS off
         FROM mu0 m LEFT JOIN mu1 u USING (sample, scaffold, position) LEFT JOIN gens g ON u.k = 1 AND g.gene = u.gene),
-        mu3 AS (SELECT *, substr(gseq, at - at % 3 + 1, 3) AS old, CASE WHEN direction = -1 THEN translate(con_base, 'ACGT', 'TGCA') ELSE con_base END AS cb,
+        mu3 AS (SELECT *, substr(gseq, off - off % 3 + 1, 3) AS old, CASE WHEN direction = -1 THEN translate(con_base, 'ACGT', 'TGCA') ELSE con_base END AS cb,
         CASE WHEN direction = -1 THEN translate(var_base, 'ACGT', 'TGCA') ELSE var_base END AS vb FROM mu2),
-        mu4 AS (SELECT *, substr(old, 1, at % 3) || CASE WHEN cb = substr(gseq, at + 1, 1) THEN vb ELSE cb END || substr(old, at % 3 + 2) AS new FROM mu3),
+        mu4 AS (SELECT *, substr(old, 1, off % 3) || CASE WHEN cb = substr(gseq, off + 1, 1) THEN vb ELSE cb END || substr(old, off % 3 + 2) AS new FROM mu3),
         muts AS (SELECT m.sample, m.scaffold, m.position, m.mm, m.ref_base, con_base, var_base, allele_count, class, cryptic, gene,
         CASE WHEN k = 0 THEN 'I' WHEN k > 1 THEN 'M' WHEN x.aa <> y.aa THEN 'N' ELSE 'S' END AS mutation_type,
         CASE WHEN k = 1 THEN CASE WHEN x.aa <> y.aa THEN 'N:' || x.aa || (m.position - gs) || y.aa ELSE 'S:' || (m.position - gs) END END AS mutation
@@ -227,7 +227,7 @@ FRAGMENTS = ad.SQL | {
     "along": "along AS (SELECT sample, anno, genome, count(*) AS genes, CAST(sum(floor(gene_length * coverage)) AS BIGINT) AS bases FROM det JOIN anno USING (gene) GROUP BY 1, 2, 3)",
     "atot": """atot AS (SELECT * FROM (SELECT sample, count(DISTINCT gene) AS detected_genes, count(DISTINCT genome) AS detected_genomes, CAST(sum(floor(gene_length * coverage)) AS BIGINT) AS bases_mapped_to_genes FROM det GROUP BY 1)
         LEFT JOIN (SELECT sample, count(DISTINCT anno) AS detected_annotations, count(DISTINCT gene) AS detected_genes_with_anno FROM det JOIN anno USING (gene) GROUP BY 1) USING (sample))""",
-    "ctg": """spans AS (SELECT r.scaffold, length, greatest(ref_start, 0) AS a, least(ref_end + 1, length) AS b FROM rds r JOIN lens USING (scaffold)),
+    "ctg": """spans AS (SELECT r.scaffold, lens.length, greatest(ref_start, 0) AS a, least(ref_end + 1, lens.length) AS b FROM rds r JOIN lens USING (scaffold)),
         ok AS (SELECT * FROM spans WHERE a < b),
         ctg AS (SELECT scaffold, length, sum(b - a) / length AS mean, (SELECT count(*) FROM range(length) p(i) WHERE EXISTS (SELECT 1 FROM ok o WHERE o.scaffold = s.scaffold AND o.a <= i AND i < o.b)) AS covered_bases, count(*) AS reads
         FROM ok s GROUP BY scaffold, length)""",
@@ -366,7 +366,7 @@ def events(spark, sf):
     e = ad.table(spark, sf, "events")
     ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
     status = F.when(F.col("event_type") == F.col("lo"), "start").when(F.col("event_type") == F.col("hi"), "end").otherwise("failure")
-    return e.crossJoin(F.broadcast(ends)).select("event_id", F.col("ts").alias("time"), F.concat(F.lit("run_"), F.col("user_id") % 3).alias("run_id"), F.concat(F.lit("unit_"), F.col("event_id") % 40).alias("unit"), (F.col("user_id") % 8).alias("pid"), status.alias("status"), F.col("value").alias("ram"))
+    return e.crossJoin(F.broadcast(ends)).select("event_id", F.col("ts").cast("timestamp").alias("time"), F.concat(F.lit("run_"), F.col("user_id") % 3).alias("run_id"), F.concat(F.lit("unit_"), F.col("event_id") % 40).alias("unit"), (F.col("user_id") % 8).alias("pid"), status.alias("status"), F.col("value").alias("ram"))
 
 
 
@@ -629,7 +629,7 @@ def _g5(spark, sf):
 
 @query(
     "g7_gene_info",
-    """SELECT c.*, g."end" - g.start + 1 AS gene_length, nucl_diversity, breadth_minCov, divergent_site_count, SNS_count, SNV_count, SNS_S_count, SNS_N_count, SNV_S_count, SNV_N_count, S_sites, N_sites, dNdS_substitutions, pNpS_variants
+    """SELECT c.*, g."end" - g.start + 1 AS gene_length, nucl_diversity, breadth_minCov, coalesce(divergent_site_count, 0) AS divergent_site_count, coalesce(SNS_count, 0) AS SNS_count, coalesce(SNV_count, 0) AS SNV_count, coalesce(SNS_S_count, 0) AS SNS_S_count, coalesce(SNS_N_count, 0) AS SNS_N_count, coalesce(SNV_S_count, 0) AS SNV_S_count, coalesce(SNV_N_count, 0) AS SNV_N_count, S_sites, N_sites, dNdS_substitutions, pNpS_variants
     FROM (SELECT * EXCLUDE mm FROM gcov QUALIFY row_number() OVER (PARTITION BY sample, gene ORDER BY mm DESC) = 1) c JOIN gens g USING (gene)
     LEFT JOIN (SELECT sample, gene, nucl_diversity, breadth_minCov FROM gclon QUALIFY row_number() OVER (PARTITION BY sample, gene ORDER BY mm DESC) = 1) USING (sample, gene)
     LEFT JOIN (SELECT * EXCLUDE (mm, scaffold) FROM gsnp QUALIFY row_number() OVER (PARTITION BY sample, gene ORDER BY mm DESC) = 1) USING (sample, gene) WHERE coverage > 0""",
@@ -638,7 +638,8 @@ def _g5(spark, sf):
 )
 def _g7(spark, sf):
     g = ad.genes(spark, sf)
-    return genes.gene_info(g, gene_cov(spark, sf), genes.gene_clonality(clon(spark, sf), g, K), gene_counts(spark, sf), K)
+    d = genes.gene_info(g, gene_cov(spark, sf), genes.gene_clonality(clon(spark, sf), g, K), gene_counts(spark, sf), K)
+    return d.fillna(0, [c for c in d.columns if c.endswith("_count")])
 
 
 # genomes
@@ -1027,10 +1028,10 @@ def _r9(spark, sf):
 # older measures
 
 
-@query("h1_forward_fill", "SELECT sample, scaffold, position, mm, last_value(x IGNORE NULLS) OVER (PARTITION BY sample, scaffold, position ORDER BY mm ROWS UNBOUNDED PRECEDING) AS x FROM (SELECT *, CASE WHEN mm % 2 = 0 THEN coverage END AS x FROM cov)", "cov")
+@query("h1_forward_fill", "SELECT sample, scaffold, position, mm, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY sample, scaffold, position ORDER BY mm ROWS UNBOUNDED PRECEDING), -1) AS x FROM (SELECT *, CASE WHEN mm % 2 = 0 THEN coverage END AS x FROM cov)", "cov")
 def _h1(spark, sf):
     c = cov(spark, sf).select(*K, "position", "mm", F.when(F.col("mm") % 2 == 0, F.col("coverage")).alias("x"))
-    return legacy.forward_fill(c, [*K, "position"], "mm", ["x"])
+    return legacy.forward_fill(c, [*K, "position"], "mm", ["x"]).fillna(-1, ["x"])
 
 
 @query("h2_entropy", "SELECT sample, scaffold, position, mm, " + " + ".join(f"CASE WHEN {b} > 0 THEN -({b} / d) * ln({b} / d) ELSE 0 END" for b in BASES) + " AS entropy FROM (SELECT *, A + C + T + G AS d FROM cum)", "cum", "entropy")
