@@ -34,7 +34,7 @@ def prodigal_genes(spark: SparkSession, path: str) -> DataFrame:
     attrs = F.get(p, F.lit(4))
     return d.where(F.size(p) >= 4).select(
         F.regexp_replace(gene, r"_[^_]*$", "").alias("scaffold"), gene.alias("gene"), (p[1].cast("long") - 1).alias("start"), (p[2].cast("long") - 1).alias("end"),
-        p[3].cast("int").alias("direction"), ~F.coalesce(F.regexp_extract(attrs, r"partial=(\d\d)", 1).isin("00", ""), F.lit(True)) .alias("partial"), "sequence",
+        p[3].cast("int").alias("direction"), (~F.coalesce(F.regexp_extract(attrs, r"partial=(\d\d)", 1).isin("00", ""), F.lit(True))).alias("partial"), "sequence",
     )
 
 
