@@ -136,7 +136,8 @@ def mix(
         upto.join(wish, F.col("s2").eqNullSafe(F.col("s"))).where("upto > rest").groupBy("s2", "full", "rest").agg(F.min_by(F.struct("cell", (F.col("rest") - F.col("upto") + F.col("t")).alias("left")), "cell").alias("e"))
     ).select("s2", F.col("e.cell").alias("edge"), F.col("e.left").alias("left"))
     ends = {r.s2: (r.edge, r.left) for r in edge.collect()}  # at most SOURCES rows
-    table = [(s, f, *(ends.get(s, (CELLS, 0)))) for s, f, _ in whole]
+    # without a rest there is no further epoch, not even for documents that cost nothing
+    table = [(s, f, *(ends.get(s, (CELLS, 0)) if rest else (-1, 0))) for s, f, rest in whole]
     schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("full", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("left", T.LongType())])
     d = d.withColumn("key", key).withColumn("cell", cell)
     d = d.join(F.broadcast(spark.createDataFrame(table, schema)), source.eqNullSafe(F.col("s")))
