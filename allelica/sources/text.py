@@ -46,7 +46,7 @@ _GENE = T.StructType(
 
 def genbank_genes(spark: SparkSession, path: str) -> DataFrame:
     """Coding sequences of GenBank files; each file is parsed in one task. Joined locations span their first to last base and are ``partial``."""
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
