@@ -60,7 +60,8 @@ def gc_corrected(kept: DataFrame, gc: DataFrame, group: list[str], worst: float
     line = lambda t: t.groupBy(*group).agg(F.regr_slope("log2", "gc").alias("m"), F.regr_intercept("log2", "gc").alias("b"), F.avg("log2").alias("mean"))
     e = d.join(line(d), group).withColumn("err", F.abs(F.col("log2") - (F.col("m") * F.col("gc") + F.col("b"))))
     w = Window.partitionBy(*group)
-    good = e.withColumn("r", F.row_number().over(w.orderBy(F.desc("err"), "start"))).where(F.col("r") > F.floor(F.count("*").over(w) * worst)).drop("m", "b", "mean")
+    ranked = e.withColumn("r", F.row_number().over(w.orderBy(F.desc("err"), "start"))).withColumn("all", F.count("*").over(w))
+    good = ranked.where(F.col("r") > F.floor(F.col("all") * worst)).drop("m", "b", "mean", "all")
     out = good.join(line(good), group)
     return out.withColumn("corrected", F.col("log2") + F.col("mean") - (F.col("m") * F.col("gc") + F.col("b"))).drop("m", "b", "mean", "err", "r")
 

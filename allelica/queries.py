@@ -1045,3 +1045,79 @@ def _h3(spark, sf):
     return legacy.gene_diversity(c, ad.genes(spark, sf), K, 12)
 
 
+
+
+# further operators
+
+
+@query("f15_selected_scaffolds", "SELECT scaffold, length FROM lens WHERE scaffold IN ('scaffold_1', 'scaffold_3')", "lens")
+def _f15(spark, sf):
+    chosen = ad.stb(spark, sf).where(F.col("scaffold").isin("scaffold_1", "scaffold_3")).select("scaffold")
+    return ad.lengths(spark, sf).join(chosen, "scaffold", "left_semi")
+
+
+@query("l1_linked_observations", "SELECT scaffold, split_number, position, pair, mm, base FROM lobs2", "lobs2")
+def _l1(spark, sf):
+    o = ad.link_observations(spark, sf)
+    s = pileup.site_counts(o, [*LK, "ref_base"])
+    v = variants.snvs(variants.evaluate_sites(pileup.cumulative(s, [*LK, "ref_base"])), [*LK, "ref_base"])
+    return linkage.linked_observations(o.drop("ref_base"), linkage.polymorphic(v, LK), LK)
+
+
+@query("i3_kept_windows", "SELECT scaffold, start, y, l AS log2, kept_windows AS kept_share FROM kw", "irp", "y log2 kept_share")
+def _i3(spark, sf):
+    w = irep.sliding_mean(dense(spark, sf), ["scaffold"], width=50, slide=10)
+    return irep.kept_windows(w, ["scaffold"]).select("scaffold", "start", "y", "log2", "kept_share")
+
+
+@query("i6_gc_corrected")
+def _i6(spark, sf):
+    w = irep.kept_windows(irep.sliding_mean(dense(spark, sf), ["scaffold"], width=50, slide=10), ["scaffold"])
+    return irep.gc_corrected(w, irep.sliding_gc(ad.sequences(spark, sf), ["scaffold"], 50, 10), ["scaffold"]).select("scaffold", "start", "corrected")
+
+
+@query("c15_pairwise_snp_locations", "SELECT scaffold, position, name1, name2, con_base_1, con_base_2, consensus_SNP, population_SNP FROM dif QUALIFY row_number() OVER (PARTITION BY scaffold, position, name1, name2 ORDER BY mm DESC) = 1", "dif")
+def _c15(spark, sf):
+    d = collapse(differences(spark, sf), ["scaffold", "position", "name1", "name2"])
+    return d.select("scaffold", "position", "name1", "name2", "con_base_1", "con_base_2", "consensus_SNP", "population_SNP")
+
+
+@query("o3_counts_at_missing", "SELECT p.* FROM pool p SEMI JOIN miss m ON p.sample = m.sample AND p.scaffold = m.scaffold AND p.position = m.position", "pool")
+def _o3(spark, sf):
+    return pooling.counts_at(pooling.missing_positions(called(spark, sf)), sites(spark, sf))
+
+
+@query(
+    "t8_linkage_by_type",
+    """SELECT scaffold, series, distance, count(*) AS pairs, CASE WHEN count(r2) >= 2 THEN avg(r2) END AS r2 FROM (SELECT scaffold, distance, r2, unnest(CASE WHEN position_A % 2 = position_B % 2 THEN ['all', CASE WHEN position_A % 2 = 0 THEN 'S-S' ELSE 'N-N' END] ELSE ['all'] END) AS series FROM lld) GROUP BY 1, 2, 3""",
+    "lld",
+    "r2",
+)
+def _t8(spark, sf):
+    # positions stand in for mutation types: link observations lie on no genes
+    table = ld(spark, sf)
+    types = table.select("scaffold", F.explode(F.array("position_A", "position_B")).alias("position")).distinct()
+    types = types.withColumn("mutation_type", F.when(F.col("position") % 2 == 0, "S").otherwise("N"))
+    return plotdata.linkage_by_type(table, types, ["scaffold"])
+
+
+@query(
+    "t10_distances",
+    """SELECT genome, name1, name2, 1.0 - v AS distance FROM (SELECT g.genome, a.s AS name1, b.s AS name2, CASE WHEN a.s = b.s THEN 1.0 ELSE (SELECT avg(coverage_overlap) FROM gcmp x WHERE x.genome = g.genome AND ((x.name1 = a.s AND x.name2 = b.s) OR (x.name1 = b.s AND x.name2 = a.s))) END AS v
+    FROM (SELECT DISTINCT genome FROM gcmp) g, (VALUES ('sample_0'), ('sample_1')) a(s), (VALUES ('sample_0'), ('sample_1')) b(s))""",
+    "gcmp",
+    "distance",
+)
+def _t10(spark, sf):
+    d = compare.symmetric(genome_comparison(spark, sf), "coverage_overlap", ["genome"])
+    return d.select("genome", "name1", "name2", (F.lit(1.0) - F.col("coverage_overlap")).alias("distance"))
+
+
+@query("t11_selected_genomes", "SELECT DISTINCT sample, genome FROM (SELECT * FROM ginfo QUALIFY row_number() OVER (PARTITION BY sample, genome ORDER BY mm DESC) = 1) WHERE breadth >= 0.5", "ginfo")
+def _t11(spark, sf):
+    return genomes.selected(genome_info(spark, sf), None, 0.5, ["sample"])
+
+
+@query("v7_frequencies", "SELECT sample, scaffold, position, mm, position_coverage, ref_freq, con_freq, var_freq FROM snv WHERE allele_count > 1", "snv", "ref_freq con_freq var_freq")
+def _v7(spark, sf):
+    return snv(spark, sf).where("allele_count > 1").select(*K, "position", "mm", "position_coverage", "ref_freq", "con_freq", "var_freq")
