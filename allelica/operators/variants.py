@@ -57,7 +57,7 @@ def snvs(sites: DataFrame, keys: list[str]) -> DataFrame:
     d = d.withColumn("cryptic", F.max("_lost").over(Window.partitionBy(*pos))).where("called")
     freq = lambda base: ratio(count_of(base), F.col("position_coverage"))
     return d.select(
-        *keys, "position", "mm", "ref_base", "con_base", "var_base", *BASES, "position_coverage", "allele_count", "class", "cryptic",
+        *[k for k in keys if k != "ref_base"], "position", "mm", "ref_base", "con_base", "var_base", *BASES, "position_coverage", "allele_count", "class", "cryptic",
         freq(F.col("ref_base")).alias("ref_freq"), freq(F.col("con_base")).alias("con_freq"), freq(F.col("var_base")).alias("var_freq"),
     )
 
