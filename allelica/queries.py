@@ -11,6 +11,7 @@ from allelica.functions.bases import BASES, expected_breadth
 from allelica.functions.codons import CODE, SYNONYMOUS
 from allelica.operators import annotations as an
 from allelica.operators import cluster, compare, genes, genomes, irep, legacy, linkage, logs, nullmodel, pileup, plotdata, pooling, quick, reads, variants
+from allelica.plans.lineage import cut
 from allelica.plans.mm import collapse
 from allelica.sources import adapter as ad
 
@@ -22,6 +23,25 @@ K, KR = ["sample", "scaffold"], ["sample", "scaffold", "ref_base"]
 LK = ["scaffold", "split_number"]
 
 
+#: Tables that the query being built has made already.
+_MADE: dict[str, DataFrame] = {}
+
+
+def once(write: bool = False):
+    """Makes a table once for each query; with ``write``, its rows too, which several consumers then read from the checkpoint folder."""
+
+    def wrap(f):
+        def make(spark: SparkSession, sf: str) -> DataFrame:
+            if f.__name__ not in _MADE:
+                df = f(spark, sf)
+                _MADE[f.__name__] = cut(df) if write else df
+            return _MADE[f.__name__]
+
+        return make
+
+    return wrap
+
+
 def query(name: str, sql: str | None = None, ctes: str = "", doubles: str = ""):
     """Registers a query; ``ctes`` names the fragments that its SQL starts with, ``doubles`` the columns rounded on both sides."""
 
@@ -29,7 +49,9 @@ def query(name: str, sql: str | None = None, ctes: str = "", doubles: str = ""):
         cols = doubles.split()
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _MADE.clear()
             df = f(spark, sf_dir)
+            _MADE.clear()
             return df.withColumns({c: F.round(c, PLACES) + F.lit(0.0) for c in cols}) if cols else df
 
         QUERIES[name] = run
@@ -250,18 +272,21 @@ def obs(spark, sf):
     return ad.observations(spark, sf)
 
 
+@once(write=True)
 def sites(spark, sf):
     return pileup.site_counts(obs(spark, sf), KR)
 
 
 def plain_sites(spark, sf):
-    return pileup.site_counts(obs(spark, sf), K)
+    # a position has one reference base
+    return sites(spark, sf).drop("ref_base")
 
 
 def cum(spark, sf):
     return pileup.cumulative(sites(spark, sf), KR)
 
 
+@once()
 def snv(spark, sf):
     return variants.snvs(variants.evaluate_sites(cum(spark, sf)), KR).select(*K, "ref_base", "position", "mm", "con_base", "var_base", *BASES, "position_coverage", "allele_count", "class", "cryptic", "ref_freq", "con_freq", "var_freq")
 
@@ -274,14 +299,17 @@ def clon(spark, sf):
     return pileup.clonality(pileup.cumulative(plain_sites(spark, sf), K), K)
 
 
+@once()
 def scaffold_info(spark, sf):
     return pileup.scaffold_info(plain_sites(spark, sf), snv(spark, sf), ad.lengths(spark, sf), K)
 
 
+@once(write=True)
 def pairs(spark, sf):
     return reads.pair_reads(ad.reads(spark, sf))
 
 
+@once()
 def evaluated(spark, sf):
     return reads.evaluate(reads.pairing_filter(pairs(spark, sf), "paired_only"))
 
@@ -298,6 +326,7 @@ def link_tables(spark, sf):
     return co, s.drop("ref_base")
 
 
+@once(write=True)
 def ld(spark, sf):
     return linkage.linkage(*link_tables(spark, sf), LK)
 
@@ -318,6 +347,7 @@ def genome_info(spark, sf):
     return genomes.genome_scaffold_info(scaffold_info(spark, sf), ad.stb(spark, sf), ad.lengths(spark, sf), ["sample"])
 
 
+@once(write=True)
 def overlaps(spark, sf):
     c = cov(spark, sf)
     return compare.overlap_sites(c, compare.sample_pairs(c))
@@ -331,6 +361,7 @@ def comparison(spark, sf):
     return compare.scaffold_comparison(compare.coverage_overlap(overlaps(spark, sf)), differences(spark, sf), ad.lengths(spark, sf))
 
 
+@once()
 def genome_comparison(spark, sf):
     stb, lens = ad.stb(spark, sf), ad.lengths(spark, sf)
     return compare.genome_comparison(comparison(spark, sf), stb, genomes.genome_lengths(lens, stb))
