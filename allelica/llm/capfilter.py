@@ -4,7 +4,8 @@ A filter is a direction of a product code: the vector is rotated at random and
 cut into ``BLOCKS`` equal parts, and a direction is one code word for each part.
 A vector belongs to every filter whose direction it exceeds a threshold on;
 list decoding finds these from the parts' sorted inner products, without
-looking at the rest of the code.  Vectors meet within (label, filter), and pairs
+looking at the rest of the code.  Numbers of filters above one threshold differ
+widely, so a vector lowers it until ``LEAST`` of its filters exceed it.  Vectors meet within (label, filter), and pairs
 are verified by their cosine in double precision.
 
 Codes grow with the number of vectors, so that the number of vectors that share
@@ -30,6 +31,11 @@ from allelica.llm.graph import Forest, block_tasks, by_task, components, whole_g
 BLOCKS = 2
 #: Filters that a vector is aimed to fall into, and vectors that are aimed to share one by chance.
 AIM, SHARE = 14, 8
+#: Filters that each vector falls into at least.
+LEAST = 24
+#: Caps of a fine code are narrower than near pairs are apart if vectors are short: below ``FINE`` numbers
+#: codes stay small, and below ``SHORT`` all vectors of a label are compared.
+FINE, SHORT = 16, 8
 BLOCK_ROWS = 1024
 
 
@@ -58,7 +64,7 @@ class Code:
         return [y[:, a:b] @ c.T for a, b, c in zip(self.edges[:-1], self.edges[1:], self.code)]
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (vector, filter) pairs above the threshold; for a vector without any, its best filter.
+        """All (vector, filter) pairs above the threshold, and each vector's ``LEAST`` best filters (all, if there are fewer).
 
         ``x`` holds unit vectors.  Code words of each part are taken in
         descending order; the second part's list ends where the sum falls
@@ -67,14 +73,11 @@ class Code:
         one, two = self.products(x)
         o1, o2 = np.argsort(-one, axis=1), np.argsort(-two, axis=1)
         s1, s2 = np.take_along_axis(one, o1, 1), np.take_along_axis(two, o2, 1)
+        limit = np.minimum(self.threshold, self._own(s1, s2))
         rows, filters = [], []
         for i in range(len(x)):
-            a = s1[i][: np.count_nonzero(s1[i] + s2[i, 0] >= self.threshold)]
-            n = np.searchsorted(-s2[i], -(self.threshold - a), side="right")
-            if not n.sum():
-                rows.append(np.array([i]))
-                filters.append(np.array([o1[i, 0] * self.words + o2[i, 0]]))
-                continue
+            a = s1[i][: np.count_nonzero(s1[i] + s2[i, 0] >= limit[i])]
+            n = np.searchsorted(-s2[i], -(limit[i] - a), side="right")
             first = np.repeat(o1[i, : len(a)], n)
             second = o2[i][np.concatenate([np.arange(k) for k in n])]
             rows.append(np.full(len(first), i))
@@ -83,6 +86,15 @@ class Code:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(filters)
 
+    def _own(self, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+        """For each vector, what its ``LEAST`` best filters exceed; parts' products are in descending order."""
+        k = min(self.words, LEAST)
+        # a pair of places has (i + 1) * (j + 1) - 1 pairs before it
+        i, j = (at.ravel() for at in np.indices((k, k)))
+        i, j = i[(i + 1) * (j + 1) <= LEAST], j[(i + 1) * (j + 1) <= LEAST]
+        sums = np.sort(s1[:, i] + s2[:, j], axis=1)
+        return sums[:, -min(LEAST, self.words**2)] - 1e-6
+
 
 def _unit(t: pa.RecordBatch | pa.Table) -> np.ndarray:
     v = t["vec"]
@@ -219,12 +231,16 @@ def _sizes(classes: DataFrame) -> dict[int, int]:
 
 
 def _of_length(classes: DataFrame, dim: int, n: int, parts: int, cosine: float) -> DataFrame:
-    words = int(min(512, max(16, math.ceil(math.sqrt(n * AIM / SHARE)))))
-    code = classes.sparkSession.sparkContext.broadcast(Code(dim, words)) if dim >= BLOCKS else None
-    if code is None:
-        # a single number: all vectors of one sign are parallel
-        code = classes.sparkSession.sparkContext.broadcast(_Sign())
-    lists = cut(classes.select("id", "label", "vec").mapInArrow(_filters(code), "id long, label string, filters array<long>"))
+    words = int(min(512 if dim >= FINE else 42, max(16, math.ceil(math.sqrt(n * AIM / SHARE)))))
+    if 1 < dim < SHORT:
+        return _linked(classes, cut(classes.select("id", "label", F.array(F.lit(dim).cast("long")).alias("filters"))), parts, cosine)
+    # a single number: all vectors of one sign are parallel
+    code = classes.sparkSession.sparkContext.broadcast(Code(dim, words) if dim > 1 else _Sign())
+    return _linked(classes, cut(classes.select("id", "label", "vec").mapInArrow(_filters(code), "id long, label string, filters array<long>")), parts, cosine)
+
+
+def _linked(classes: DataFrame, lists: DataFrame, parts: int, cosine: float) -> DataFrame:
+    """Numbers of links (``links`` above 0) and forests' edges (0) of vectors of one length with these lists of filters."""
     rows = lists.select("id", "label", F.explode("filters").alias("filter")).withColumn("key", F.xxhash64("label", "filter"))
     tasks = block_tasks(rows.select("id", "filter", "key"), "key", "id", BLOCK_ROWS)
     tasks = tasks.join(classes.select("id", "copies", "vec").join(lists.select("id", "filters"), "id"), "id")

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from allelica.llm.capfilter import near_vectors
+from allelica.llm.capfilter import LEAST, Code, near_vectors
 
 
 def brute(rows, least):
@@ -53,6 +54,36 @@ def test_against_brute_force(spark):
     assert got[996] == (1, 995) and got[997] == (1, -7) and got[990] == (0, 990)
 
 
+def planted(rng, n, dim, cosine):
+    x, z = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("words", [16, 42, 118, 512])
+def test_planted_pairs_share_a_filter(words):
+    rng, code = np.random.default_rng(3), Code(64, words)
+    for cosine in (0.9801, 0.985):
+        one, two = (code.decode(x.astype(np.float32)) for x in planted(rng, 1000, 64, cosine))
+        assert min(np.bincount(one[0], minlength=1000)) >= LEAST
+        met = set(zip(*map(np.ndarray.tolist, one))) & set(zip(*map(np.ndarray.tolist, two)))
+        assert len({i for i, _ in met}) >= 998, (words, cosine)
+
+
+def test_isolated_pairs(spark):
+    """Pairs of all lengths at the threshold, each without other near vectors."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim, n in ((4, 3), (8, 5), (64, 400)):
+        for x, y in zip(*planted(rng, n, dim, 0.9801), strict=True):
+            rows += [(len(rows), [float(v) for v in x], n), (len(rows) + 1, [float(v) for v in y], n)]
+    got = {r.id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want, _ = brute(rows, 0.98)
+    assert sum(got[i] != want[i] for i in want) <= 2
+
+
 def test_blocks(spark, monkeypatch):
     from allelica.llm import capfilter
 
