@@ -36,6 +36,8 @@ LEAST = 24
 #: Caps of a fine code are narrower than near pairs are apart if vectors are short: below ``FINE`` numbers
 #: codes stay small, and below ``SHORT`` all vectors of a label are compared.
 FINE, SHORT = 16, 8
+#: Lengths of vectors that get a code of their own, at most.
+LENGTHS = 1000
 BLOCK_ROWS = 1024
 
 
@@ -209,9 +211,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     real = v.where("ok")
     classes = cut(real.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")))
     found = None
-    for dim, n in sorted(_sizes(classes).items()):
+    sizes = _sizes(classes)
+    for dim, n in sorted(sizes[:LENGTHS]):
         part = _of_length(classes.where(F.size("vec") == dim), dim, n, parts, cosine)
         found = part if found is None else found.unionByName(part)
+    if len(sizes) > LENGTHS:
+        part = _of_the_rest(classes.where(~F.size("vec").isin([dim for dim, _ in sizes[:LENGTHS]])), parts, cosine)
+        found = found.unionByName(part)
     if found is None:
         return v.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = cut(found)
@@ -224,10 +230,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _sizes(classes: DataFrame) -> dict[int, int]:
-    """The lengths of vectors, and the most classes that one label has of each; lengths are few by nature."""
+def _sizes(classes: DataFrame) -> list[tuple[int, int]]:
+    """The lengths of vectors with the most classes that one label has of each, largest first; one more than ``LENGTHS`` at most."""
     by_label = classes.groupBy(F.size("vec").alias("dim"), "label").count()
-    return {r.dim: r.n for r in by_label.groupBy("dim").agg(F.max("count").alias("n")).limit(1000).collect()}
+    by_dim = by_label.groupBy("dim").agg(F.max("count").alias("n"))
+    return [(r.dim, r.n) for r in by_dim.orderBy(F.desc("n"), "dim").limit(LENGTHS + 1).collect()]
 
 
 def _of_length(classes: DataFrame, dim: int, n: int, parts: int, cosine: float) -> DataFrame:
@@ -239,6 +246,14 @@ def _of_length(classes: DataFrame, dim: int, n: int, parts: int, cosine: float)
     return _linked(classes, cut(classes.select("id", "label", "vec").mapInArrow(_filters(code), "id long, label string, filters array<long>")), parts, cosine)
 
 
+def _of_the_rest(classes: DataFrame, parts: int, cosine: float) -> DataFrame:
+    """Links of the rarer lengths, which get no code: all vectors of a label and length are compared."""
+    lists = cut(classes.select("id", "label", F.array(F.size("vec").cast("long")).alias("filters")))
+    most = classes.agg(F.max(F.size("vec"))).first()[0]
+    # zeros at the end don't change a cosine
+    return _linked(classes.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vec")))), lists, parts, cosine)
+
+
 def _linked(classes: DataFrame, lists: DataFrame, parts: int, cosine: float) -> DataFrame:
     """Numbers of links (``links`` above 0) and forests' edges (0) of vectors of one length with these lists of filters."""
     rows = lists.select("id", "label", F.explode("filters").alias("filter")).withColumn("key", F.xxhash64("label", "filter"))

@@ -84,6 +84,19 @@ def test_isolated_pairs(spark):
     assert sum(got[i] != want[i] for i in want) <= 2
 
 
+def test_rare_lengths(spark, monkeypatch):
+    from allelica.llm import capfilter
+
+    monkeypatch.setattr(capfilter, "LENGTHS", 1)
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim, n in ((20, 6), (9, 2), (12, 3), (1, 2)):
+        for x, y in zip(*planted(rng, n, dim, 0.985) if dim > 1 else rng.uniform(1, 2, (2, n, 1)), strict=True):
+            rows += [(len(rows), [float(v) for v in x], 1), (len(rows) + 1, [float(v) for v in y], 1)]
+    got = {r.id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows, 0.98)[0]
+
+
 def test_blocks(spark, monkeypatch):
     from allelica.llm import capfilter
 
