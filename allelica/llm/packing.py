@@ -123,7 +123,7 @@ def pack(
     d = d.withColumn("tokens", F.least(F.lit(capacity), F.col("words") - F.col("start")).cast("long"))
     empty = d.where("tokens = 0").select("id", "piece", "start", "tokens", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("offset"))
     full = d.where(F.col("tokens") == capacity).select(
-        "id", "piece", "start", "tokens", _own_bin(F.col("id"), F.col("piece"), F.col("copy")).alias("bin"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("offset")
+        "id", "piece", "start", "tokens", _own_bin("id", "piece", "copy", "source", "cluster", "words").alias("bin"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("offset")
     )
     rest = d.where((F.col("tokens") > 0) & (F.col("tokens") < capacity))
     shards = max(1, -(-docs.count() // shard))
@@ -132,6 +132,6 @@ def pack(
     return packed.unionByName(full).unionByName(empty)
 
 
-def _own_bin(identity: Column, piece: Column, copy: Column) -> Column:
+def _own_bin(*identity: str) -> Column:
     """A bin for a piece that fills it: a hash below zero, where shards have none."""
-    return F.xxhash64(identity, piece, copy).bitwiseOR(F.lit(-(1 << 63)))
+    return F.xxhash64(*identity).bitwiseOR(F.lit(-(1 << 63)))

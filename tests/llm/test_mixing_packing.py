@@ -98,6 +98,13 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_full_pieces_of_rows_with_one_id(spark):
+    texts = [" ".join([w] * n) for w, n in (("a", 20), ("b", 20), ("c", 30), ("a", 20))]
+    for i in (None, 7):
+        got = packing.pack(spark.createDataFrame([(i, t, "s") for t in texts], "doc_id long, text string, source string"), capacity=10).collect()
+        assert len({r.bin for r in got}) == len(got) == 9 and {r.tokens for r in got} == {10}
+
+
 def brute_fit(sizes, sources, clusters, capacity):
     bins, out = [], []
     for z, s, c in zip(sizes, sources, clusters):
