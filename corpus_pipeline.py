@@ -6,10 +6,11 @@ last return the columns of ``documents``.  :func:`run` applies them in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelica.llm import minhash, mixing, packing, quality, substring
+from allelica.llm.common import cut
 
 #: Columns of ``documents``.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,12 +28,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the document with the smallest id of each group of near-duplicates.
 
-    Documents without words and rows with a null id are in no group and stay;
-    of rows with equal ids one stays.
+    Documents without words and rows with a null id are in no group and stay.
+    Rows that share an id are one document if their texts are equal (the least
+    row stays), else documents of their own, in the order of their texts' hashes.
     """
-    kept = minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept and id is not null")
-    known = docs.select(*COLUMNS).where("doc_id is not null")
-    one = known.join(kept.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.select(*COLUMNS).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    texts = known.select("doc_id", "h").distinct().withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("h")))
+    more = cut(texts.where("number > 1").select("doc_id", "h", F.xxhash64("doc_id", "h").alias("own")))
+    if more.isEmpty():
+        kept = minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept and id is not null")
+        one = known.join(kept.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    else:
+        known = cut(known.join(more, ["doc_id", "h"], "left").withColumn("own", F.coalesce("own", "doc_id")))
+        groups = minhash.near_duplicates(known, id_col="own", shingle=SHINGLE, percent=PERCENT).select(F.col("id").alias("own"), "component_id").distinct()
+        groups = groups.join(known.select("own", "doc_id", "h").distinct(), "own")
+        least = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "own")).alias("least"))
+        one = known.join(least.select("least.own"), "own", "left_semi")
+    one = one.groupBy("doc_id", "h").agg(F.min(F.struct("source", "lang", "n_chars", "text")).alias("row")).select("doc_id", "row.*")
     return one.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 

@@ -92,6 +92,21 @@ def test_each_stage_against_brute_force(spark, tables):
     check_bins(data, packed, cp.CAPACITY, lambda i: i)
 
 
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(6)
+    text = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(5)]
+    # 1: two texts; 2: a near copy of 1's first and one of its own; 3: near copies of each other; 4: a row twice, with two sources
+    docs = [(1, text[0]), (1, text[1]), (2, text[0] + " x"), (2, text[2]), (3, text[3]), (3, text[3] + " y"), (4, text[4]), (4, text[4]), (5, None), (5, "")]
+    data = [(i, t, "en", "ba"[k % 2], k % 2) for k, (i, t) in enumerate(docs)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows(cp.drop_near_copies(spark, df.repartition(5), ""))
+    assert len(got) == len(set(got)) == 7 and set(got) <= set(data)
+    assert {r[:2] for r in got} - {(3, text[3]), (3, text[3] + " y")} == {(1, text[0]), (1, text[1]), (2, text[2]), (4, text[4]), (5, None), (5, "")}
+    assert [r[3] for r in got if r[0] == 4] == ["a"]
+    again = rows(cp.drop_near_copies(spark, df.repartition(2, "n_chars"), ""))
+    assert Counter(again) == Counter(got)
+
+
 def test_empty_tables(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
