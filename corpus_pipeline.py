@@ -6,11 +6,13 @@ last return the columns of ``documents``.  :func:`run` applies them in order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelica.llm import minhash, mixing, packing, quality, substring
-from allelica.llm.common import cut
+from allelica.llm.common import cut, ready
 
 #: Columns of ``documents``.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -81,8 +83,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each one's result is written as Parquet to the shared checkpoint folder and read again.
+
+    A result goes when the next is written; the last one's stays.
+    """
+    ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

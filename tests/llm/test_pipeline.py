@@ -117,3 +117,23 @@ def test_empty_tables(spark, tables):
 def test_run_writes_every_document_that_stays(spark, tables):
     out = cp.run(spark, tables)
     assert {"doc_id", "bin", "tokens"} <= set(out.columns) and out.count() > 100
+
+
+def test_stages_read_what_the_stage_before_wrote(spark, tables, monkeypatch):
+    import os
+
+    seen = []
+
+    def spied(stage):
+        def call(spark, docs, sf_dir):
+            seen.append(sorted({os.path.dirname(f) for f in docs.inputFiles()}))
+            return stage(spark, docs, sf_dir)
+
+        return call
+
+    monkeypatch.setattr(cp, "STAGES", [(n, spied(f)) for n, f in cp.STAGES])
+    out = cp.run(spark, tables)
+    assert len(seen) == 5 and seen[0][0].endswith("documents.parquet")
+    assert [[os.path.basename(d) for d in s] for s in seen[1:]] == [["0"], ["1"], ["2"], ["3"]]
+    assert {os.path.basename(os.path.dirname(f)) for f in out.inputFiles()} == {"4"}
+    assert out.count() > 100
