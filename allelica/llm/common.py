@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 #: Bytes of input that one shuffle partition should hold at most.
 PARTITION_BYTES = 64 << 20
+#: Rows of a few numbers that are broadcast, at most; rows that make a class hot.
+SMALL_ROWS, HOT_ROWS = 200_000, 2_000
 #: Modulus and multiplier of :func:`id_bucket`.
 _PRIME, _TIMES = 2147483647, 40503
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the size of ``df``; 0 if it has none."""
+    """Spark's estimate of the size of ``df``; where it has none, its strings and binaries are added up."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    if size < 1 << 60:
+        return size
+    names = [f"c{k}" for k in range(len(df.columns))]
+    flat = df.toDF(*names)
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in flat.schema if f.dataType.typeName() in ("string", "binary")]
+    row = sum(long, F.lit(8 * len(names))).cast("long")
+    return int(flat.agg(F.sum(row).alias("n")).first().n or 0)
 
 
 def partitions(df: DataFrame, per_partition: int = PARTITION_BYTES) -> int:
@@ -27,11 +35,13 @@ def partitions(df: DataFrame, per_partition: int = PARTITION_BYTES) -> int:
 
 
 def ready(spark: SparkSession) -> None:
-    """Makes sure that there is a checkpoint folder: the session's own, else a temporary one (local runs)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+    """Makes sure that there is a checkpoint folder: the session's own, else a temporary one, which only local runs may use."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,14 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def id_bucket(column: Column, buckets: int) -> Column:
-    """A bucket for an integer id; :func:`id_buckets` is the same in numpy. Null ids go to bucket 0."""
-    h = F.pmod(F.pmod(column.cast("long"), F.lit(_PRIME)) * F.lit(_TIMES), F.lit(_PRIME))
-    return F.coalesce(F.pmod(h, F.lit(buckets)).cast("int"), F.lit(0))
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many rows of a few numbers, for a join: broadcast only if they are few."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
-def id_buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (ids % _PRIME) * _TIMES % _PRIME % buckets
+def id_bucket(column: Column, buckets: int, other: Column) -> Column:
+    """A bucket for an integer id; null ids are dealt by ``other``."""
+    h = F.pmod(F.pmod(column.cast("long"), F.lit(_PRIME)) * F.lit(_TIMES), F.lit(_PRIME))
+    return F.pmod(F.coalesce(h, F.xxhash64(other)), F.lit(buckets)).cast("int")
 
 
 def hash_buckets(values: np.ndarray, buckets: int) -> np.ndarray:

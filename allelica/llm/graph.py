@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelica.llm.common import cut
+from allelica.llm.common import HOT_ROWS, SMALL_ROWS, cut, small
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,12 +18,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges point from the larger to the smaller node.  A round replaces each
     edge's smaller end by that node's own least neighbour (large star), then links
     the ends that a node has to the least of them (small star), until every
-    node has one edge and no end has any.  A round shuffles three times and is
-    written to the checkpoint folder.  Edges with a null end and loops are left
-    out; nodes without other edges are not returned.
+    node has one edge and no end has any.  A round is written to the checkpoint
+    folder.  Edges that repeat are dropped before they are dealt by a node, since
+    all members of a component repeat those between its former centres.  Edges with
+    a null end and loops are left out; nodes without other edges are not returned.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = cut(e.repartition("u").distinct())
+    e = cut(e.distinct().repartition("u"))
     while True:
         low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         if low.where("n > 1").isEmpty() and e.join(low.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
@@ -31,12 +32,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         x = e.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("w")).repartition("u")
         least = x.groupBy("u").agg(F.min("w").alias("m"))
         ends = x.join(least, "u").where("w > m").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        e = cut(ends.unionByName(least.select("u", F.col("m").alias("v"))).repartition("u").distinct())
+        e = cut(ends.unionByName(least.select("u", F.col("m").alias("v"))).distinct().repartition("u"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """Rows with their class's ``values``; ``classes`` has the columns ``on`` and ``copies``, its number of rows.
+
+    The largest classes of many rows, ``SMALL_ROWS`` at most, are joined by a
+    broadcast, so that no key of the shuffled join is hot.
+    """
+    hot = cut(classes.where(F.col("copies") > HOT_ROWS).orderBy(F.desc("copies")).limit(SMALL_ROWS).select(*on, *values, F.lit(True).alias("_hot")))
+    if hot.isEmpty():
+        return rows.join(classes.select(*on, *values), on)
+    marked = rows.join(F.broadcast(hot), on, "left")
+    rest = marked.where("_hot is null").drop("_hot", *values).join(classes.select(*on, *values), on)
+    return marked.where("_hot").drop("_hot").select(*rest.columns).unionByName(rest)
+
+
+def blocks_of(rows: DataFrame, keys: list[str], row_id: str, limit: int) -> DataFrame:
+    """:func:`block_tasks` for small rows: only keys of more than ``limit`` rows are looked up, and groups of one stay."""
+    heavy = cut(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("blocks")))
+    n = heavy.count()
+    if not n:
+        return rows.withColumns({c: F.lit(0) for c in ("a", "b", "own")})
+    d = rows.join(small(heavy, n), keys, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("blocks")).cast("int"), F.lit(0)))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return d.select(*rows.columns, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+
+
 def block_tasks(rows: DataFrame, key: str, row_id: str, limit: int, weight: Column | None = None, heavy: int = 0) -> DataFrame:
     """Deals rows that must be compared within ``key`` to tasks of bounded size.
 
@@ -118,6 +144,9 @@ class Forest:
         self.label = lab
 
     def edges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's id with that of its component's first row, for components of more than one."""
-        other = np.flatnonzero(self.label != np.arange(len(ids)))
-        return ids[other], ids[self.label[other]]
+        """Each row's id with its component's smallest, where they differ."""
+        low = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, self.label, ids)
+        centre = low[self.label]
+        other = ids != centre
+        return ids[other], centre[other]

@@ -156,7 +156,7 @@ def _window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _inputs(docs: DataFrame, id_col: str, text_col: str, buckets: int, parts: int, carry: list[str]) -> DataFrame:
     more = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
-    return d.withColumn("bucket", id_bucket(F.col("id"), buckets)).repartition(parts, "bucket")
+    return d.withColumn("bucket", id_bucket(F.col("id"), buckets, F.col("text"))).repartition(parts, "bucket")
 
 
 def _ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from allelica.llm.capfilter import LEAST, Code, near_vectors
+from allelica.llm.capfilter import Code, code_size, filters_of, near_vectors
 
 
 def brute(rows, least):
@@ -62,14 +62,31 @@ def planted(rng, n, dim, cosine):
     return x, cosine * x + np.sqrt(1 - cosine**2) * z
 
 
-@pytest.mark.parametrize("words", [16, 42, 118, 512])
-def test_planted_pairs_share_a_filter(words):
-    rng, code = np.random.default_rng(3), Code(64, words)
-    for cosine in (0.9801, 0.985):
-        one, two = (code.decode(x.astype(np.float32)) for x in planted(rng, 1000, 64, cosine))
-        assert min(np.bincount(one[0], minlength=1000)) >= LEAST
-        met = set(zip(*map(np.ndarray.tolist, one))) & set(zip(*map(np.ndarray.tolist, two)))
-        assert len({i for i, _ in met}) >= 998, (words, cosine)
+@pytest.mark.parametrize("dim", [64, 768])
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**7])
+def test_planted_pairs_share_a_filter(n, dim):
+    """Recall at the threshold, with the codes of 1,000 to 10,000,000 vectors of one label."""
+    rng, code = np.random.default_rng(3), Code(dim, n)
+    blocks, words = code_size(dim, n)
+    assert n * filters_of(blocks) <= 8 * words**blocks and words <= 512
+    for cosine in (0.98, 0.99):
+        one, two = (code.decode(x.astype(np.float32)) for x in planted(rng, 1000, dim, cosine))
+        assert one.shape == (1000, filters_of(blocks))
+        assert (one[:, :, None] == two[:, None, :]).any((1, 2)).mean() >= 0.985, (n, dim, cosine)
+
+
+def test_decoding_finds_the_best_directions():
+    rng, code = np.random.default_rng(6), Code(64, 3_000_000)
+    assert code.blocks == 3
+    small = Code(24, 40)
+    small.blocks, small.words, small.take = 3, 8, 16
+    small.parts = [(a, a + 8, rng.standard_normal((8, 8)).astype(np.float32)) for a in (0, 8, 16)]
+    x = planted(rng, 50, 24, 0.5)[0].astype(np.float32)
+    y = x @ small.turn
+    s = [y[:, a:b] @ c.T for a, b, c in small.parts]
+    every = (s[0][:, :, None, None] + s[1][:, None, :, None] + s[2][:, None, None, :]).reshape(50, -1)
+    want = np.sort(np.argsort(-every, axis=1)[:, :16], axis=1)
+    assert (np.sort(small.decode(x), axis=1) == want).all()
 
 
 def test_isolated_pairs(spark):
@@ -84,17 +101,29 @@ def test_isolated_pairs(spark):
     assert sum(got[i] != want[i] for i in want) <= 2
 
 
-def test_rare_lengths(spark, monkeypatch):
-    from allelica.llm import capfilter
-
-    monkeypatch.setattr(capfilter, "LENGTHS", 1)
+def test_many_lengths(spark):
     rng = np.random.default_rng(5)
     rows = []
-    for dim, n in ((20, 6), (9, 2), (12, 3), (1, 2)):
-        for x, y in zip(*planted(rng, n, dim, 0.985) if dim > 1 else rng.uniform(1, 2, (2, n, 1)), strict=True):
+    for dim in [*range(1, 40), 9, 9, 24]:
+        for x, y in zip(*planted(rng, 2, dim, 0.985) if dim > 1 else rng.uniform(1, 2, (2, 2, 1)), strict=True):
             rows += [(len(rows), [float(v) for v in x], 1), (len(rows) + 1, [float(v) for v in y], 1)]
-    got = {r.id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    assert got == brute(rows, 0.98)[0]
+    rng.shuffle(rows)
+    for kind in ("double", "float"):
+        exact = [(i, [float(np.float32(x)) if kind == "float" else x for x in v], k) for i, v, k in rows]
+        got = {r.id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(exact, f"vec_id long, embedding array<{kind}>, label int")).collect()}
+        assert got == brute(exact, 0.98)[0]
+
+
+def test_repeated_ids_and_hot_classes(spark, monkeypatch):
+    from allelica.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 3)
+    rng = np.random.default_rng(8)
+    a, b, c = (x[0].tolist() for x in (planted(rng, 1, 32, 0.5)[0], *planted(rng, 1, 32, 0.99)))
+    rows = [(1, a, 1), (1, b, 1), (2, c, 1), (9, None, 1), (9, a, 1), *((10 + k, b, 1) for k in range(6)), (None, b, 1)]
+    got = sorted((r.id or -1, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    want = sorted([(1, 1, 1), (9, 1, 1), (1, 7, 1), (2, 7, 1), (9, 0, 9), (-1, 0, None), *((10 + k, 7, 1) for k in range(6))], key=str)
+    assert sorted(got, key=str) == want
 
 
 def test_blocks(spark, monkeypatch):

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from allelica.llm.graph import Forest, block_tasks, components, whole_groups
+from allelica.llm import graph
+from allelica.llm.graph import Forest, block_tasks, blocks_of, components, join_classes, whole_groups
 
 
 def brute(edges):
@@ -44,6 +45,12 @@ def test_forest():
     f.join(p[100:], q[100:])
     want = brute(list(zip(p.tolist(), q.tolist())))
     assert [want.get(i, i) for i in range(300)] == f.label.tolist()
+    ids = rng.permutation(300) - 150
+    node, centre = f.edges(ids)
+    low = {}
+    for i, x in zip(f.label.tolist(), ids.tolist()):
+        low[i] = min(x, low.get(i, x))
+    assert sorted(zip(node.tolist(), centre.tolist())) == sorted((x, low[i]) for i, x in zip(f.label.tolist(), ids.tolist()) if x != low[i])
 
 
 def test_block_tasks_meet_once(spark):
@@ -64,3 +71,24 @@ def test_whole_groups():
         parts = list(whole_groups(t.to_batches(max_chunksize=3), ["k"], size))
         assert [x for p, _ in parts for x in p["v"].to_pylist()] == list(range(len(key)))
         assert sum(len(e) - 1 for _, e in parts) == len(set(key.tolist()))
+
+
+def test_blocks_of_meet_once(spark, monkeypatch):
+    monkeypatch.setattr("allelica.llm.common.SMALL_ROWS", 0)
+    rows = [(k, i) for k, n in ((1, 1), (2, 5), (3, 40)) for i in range(n)]
+    got = blocks_of(spark.createDataFrame(rows, "key long, id long"), ["key"], "id", 10).collect()
+    met = {}
+    for x in got:
+        for y in got:
+            if (x.key, x.a, x.b) == (y.key, y.a, y.b) and x.id < y.id and (x.a == x.b or x.own != y.own):
+                met[x.key, x.id, y.id] = met.get((x.key, x.id, y.id), 0) + 1
+    assert met == {(k, i, j): 1 for k, n in ((2, 5), (3, 40)) for i in range(n) for j in range(i + 1, n)}
+    assert {r.a for r in got if r.key == 2} == {0} and len({(r.a, r.b) for r in got if r.key == 3}) == 10
+
+
+def test_join_classes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k % 7 if k < 20 else 1, k) for k in range(40)], "k long, i long")
+    classes = rows.groupBy("k").count().selectExpr("k", "count as copies", "k * 10 as v").where("k <> 6")
+    got = sorted((r.k, r.i, r.v) for r in join_classes(rows, classes, ["k"], ["v"]).collect())
+    assert got == sorted((r.k, r.i, 10 * r.k) for r in rows.collect() if r.k != 6)
