@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelica.llm.common import cut
 from allelica.llm.mixing import count_words
 
 SHARD = 4000
@@ -58,14 +59,14 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def _pack(capacity: int) -> Callable[[pa.Table], pa.Table]:
     def pack(t: pa.Table) -> pa.Table:
-        # ids may be null; repeated rows differ by their copy
-        p = t.to_pandas()
-        ids = p["id"].fillna(-1).to_numpy(dtype=np.int64) if p["id"].isna().any() else p["id"].to_numpy()
-        order = np.lexsort((p["copy"].to_numpy(), p["piece"].to_numpy(), ids, -p["tokens"].to_numpy()))
-        source = np.unique(p["source"].fillna("").to_numpy().astype(str), return_inverse=True)[1]
-        source = np.where(p["source"].isna(), source.max() + 1, source)[order]
-        cluster = np.unique(p["cluster"].to_numpy(), return_inverse=True)[1][order]
-        tokens = p["tokens"].to_numpy()[order]
+        null = t["id"].is_null().to_numpy()
+        ids = t["id"].fill_null(0).to_numpy()
+        piece, copy, words, tokens, cluster = (t[c].to_numpy() for c in ("piece", "copy", "words", "tokens", "cluster"))
+        source = np.unique(np.array(t["source"].fill_null("").to_pylist(), dtype=str), return_inverse=True)[1]
+        source = np.where(t["source"].is_null().to_numpy(), source.max() + 1, source)
+        # rows that all of these leave tied are copies of each other
+        order = np.lexsort((copy, words, cluster, source, piece, ids, null, -tokens))
+        source, cluster, tokens = source[order], np.unique(cluster, return_inverse=True)[1][order], tokens[order]
         bins = np.array(best_fit(tokens.tolist(), source.tolist(), cluster.tolist(), capacity), dtype=np.int64)
         by = np.argsort(bins, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], bins[by][1:] != bins[by][:-1]]))
@@ -74,10 +75,9 @@ def _pack(capacity: int) -> Callable[[pa.Table], pa.Table]:
         slot[by] = np.arange(len(by)) - np.repeat(first, length)
         before = np.cumsum(tokens[by]) - tokens[by]
         offset[by] = before - np.repeat(before[first], length)
-        shard = int(p["shard"].iloc[0])
         own = t.take(pa.array(order))
         return pa.table(
-            [own["id"], own["piece"], own["start"], own["tokens"], pa.array((shard << 32) | bins), pa.array(slot, pa.int32()), pa.array(offset, pa.int64())],
+            [own["id"], own["piece"], own["start"], own["tokens"], pa.array((t["shard"][0].as_py() << 32) | bins), pa.array(slot, pa.int32()), pa.array(offset, pa.int64())],
             names=["id", "piece", "start", "tokens", "bin", "slot", "offset"],
         )
 
@@ -100,12 +100,15 @@ def pack(
     ``capacity`` words, which fill bins of their own, and a rest.  Returns one
     row for each piece: ``id``, ``piece``, ``start`` (its first word in the
     document), ``tokens``, ``bin``, ``slot`` and ``offset`` (its place and first
-    word in the bin).
+    word in the bin).  A bin's number is its shard's and its own within the
+    shard, so that no two bins share one.
 
     Documents without words, nulls included, return one row of no words and a
-    null bin.  Null sources are a source of their own.  Repeated rows are packed
-    each.  Bins are the same for the same rows, whatever their partitioning;
-    their number in a shard exceeds what fits by conflicts and one bin's rest.
+    null bin.  Null sources are a source of their own.  Repeated rows, and
+    different texts of one id or of none, are packed each.  An empty table gives
+    no rows.  Other columns are not read.  Bins are the same for the same rows,
+    whatever their partitioning; their number in a shard exceeds what fits by
+    conflicts and one bin's rest.
     """
     text = F.col(text_col).cast("string")
     d = docs.select(
@@ -115,23 +118,14 @@ def pack(
         count_words(text).alias("words"),
     )
     n = F.greatest(F.ceil(F.col("words") / F.lit(capacity)), F.lit(1)).cast("int")
-    # repeated rows stay rows of their own, wherever they lie
-    d = d.groupBy("id", "source", "cluster", "words").agg(F.count("*").alias("copies"))
+    # repeated rows stay rows of their own, wherever they lie; words are counted once
+    d = cut(d.groupBy("id", "source", "cluster", "words").agg(F.count("*").alias("copies")))
+    pieces = d.agg(F.sum(n * F.col("copies")).alias("n")).first().n or 0
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     d = d.withColumn("start", F.col("piece").cast("long") * capacity)
     d = d.withColumn("tokens", F.least(F.lit(capacity), F.col("words") - F.col("start")).cast("long"))
     empty = d.where("tokens = 0").select("id", "piece", "start", "tokens", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("offset"))
-    full = d.where(F.col("tokens") == capacity).select(
-        "id", "piece", "start", "tokens", _own_bin("id", "piece", "copy", "source", "cluster", "words").alias("bin"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("offset")
-    )
-    rest = d.where((F.col("tokens") > 0) & (F.col("tokens") < capacity))
-    shards = max(1, -(-docs.count() // shard))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "copy"), F.lit(shards)).cast("int"))
-    packed = rest.select("shard", "id", "piece", "copy", "start", "tokens", "source", "cluster").groupBy("shard").applyInArrow(_pack(capacity), _OUT)
-    return packed.unionByName(full).unionByName(empty)
-
-
-def _own_bin(*identity: str) -> Column:
-    """A bin for a piece that fills it: a hash below zero, where shards have none."""
-    return F.xxhash64(*identity).bitwiseOR(F.lit(-(1 << 63)))
+    own = F.pmod(F.xxhash64("id", "source", "cluster", "words", "piece", "copy"), F.lit(max(1, -(-pieces // shard)))).cast("int")
+    dealt = d.where("tokens > 0").select(own.alias("shard"), "id", "piece", "copy", "start", "tokens", "source", "cluster", "words")
+    return dealt.groupBy("shard").applyInArrow(_pack(capacity), _OUT).unionByName(empty)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelica.llm.common import crc_part
@@ -23,7 +23,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     model = urls.train(pages, URL_RULES)
-    return urls.judge(pages, model, URL_RULES).withColumnRenamed("id", "page_id")
+    return urls.judge(pages, model, URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "ratio")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +44,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs, crc_part("doc_id", 4) != 2)
-    out = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
-    return out.withColumn("held_out", crc_part("doc_id", 4) == 2)
+    return langid.identify(docs, model).select(F.col("id").alias("doc_id"), _held_out(4, 2), "lang_pred", "score")
 
 
-def _scored(out: DataFrame, modulus: int, rest: int) -> DataFrame:
-    out = out.withColumnRenamed("id", "doc_id").withColumn("held_out", crc_part("doc_id", modulus) == rest)
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def _held_out(modulus: int, rest: int) -> Column:
+    """Null ids aren't held out."""
+    return F.coalesce(crc_part("id", modulus) == rest, F.lit(False)).alias("held_out")
+
+
+def _scored(out: DataFrame, modulus: int, rest: int, *more: Column) -> DataFrame:
+    return out.select(F.col("id").alias("doc_id"), _held_out(modulus, rest), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +75,7 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), crc_part("doc_id", 5) != 0)
-    out = toxicity.score(docs, model).withColumn("n_segments", F.size("spans").cast("long")).drop("spans")
-    return _scored(out, 5, 0)
+    return _scored(toxicity.score(docs, model), 5, 0, F.size("spans").cast("long").alias("n_segments"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +172,30 @@ SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, coalesce(c,
 FROM d LEFT JOIN size USING (doc_id) LEFT JOIN rep ON rep.h = size.h AND rep.n = size.n LEFT JOIN comp ON comp.id = rep.id
 """
 
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, CAST('0x' || substr(md5('3:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS t
+  FROM documents
+), src AS (
+  SELECT source, sum(t) AS t FROM d GROUP BY source
+), lim AS (
+  SELECT CAST(max(t) AS DOUBLE) AS hi, CASE WHEN max(t) / min(t) <= 2 THEN 0.0 ELSE 1 - ln(2.0) / ln(max(t) / min(t)) END AS a FROM src WHERE t > 0
+), reads AS (
+  SELECT source, t, CASE WHEN t > 0 THEN CASE WHEN abs(e - round(e)) < 1e-9 THEN round(e) ELSE e END ELSE 1.0 END AS e
+  FROM (SELECT source, t, pow(t / hi, a - 1) AS e FROM src, lim)
+), budget AS (
+  SELECT source, CAST(floor(e) AS BIGINT) AS times, CAST(round((e - floor(e)) * t) AS BIGINT) AS rest FROM reads
+), unit AS (
+  SELECT source, key, sum(sum(t)) OVER (PARTITION BY source ORDER BY key) AS upto FROM d GROUP BY source, key
+), n AS (
+  SELECT d.doc_id, d.source, d.key, times + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times
+  FROM d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source JOIN unit u ON d.source IS NOT DISTINCT FROM u.source AND d.key = u.key
+)
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, CAST('0x' || substr(md5('3:' || epoch || ':' || key), 1, 15) AS BIGINT) AS place
+FROM (SELECT *, unnest(range(1, times + 1)) AS epoch FROM n)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -184,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_temperature_mixing": OP3_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op8_minhash_neardup": OP8_SQL,
     "op9_cap_filters": OP9_SQL,

@@ -1,9 +1,9 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from allelica.llm import mixing, packing
 
@@ -45,26 +45,59 @@ def test_mix_against_brute_force(spark, most):
     names = sorted(total, key=lambda s: (s is not None, s or ""))
     p = np.array([total[s] for s in names]) / sum(total.values())
     e = mixing.epochs_of(p, mixing.weights(p, mixing.find_exponent(p, None, most)))
-    n = Counter((r.doc_id, r.source) for r in got)
-    copies = Counter((i, s) for i, _, s, *_ in data)
-    key = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("k")).collect()}
+    n = Counter((r.doc_id, r.text, r.source) for r in got)
+    copies = Counter((i, t, s) for i, t, s, *_ in data)
     for s, x in zip(names, e):
         full, budget = int(np.floor(x + 1e-9)), int(round((x - np.floor(x + 1e-9)) * total[s]))
-        mine = sorted(((key[i] + (1 << 64)) % (1 << 64), key[i], i if i is not None else -1, words(t)) for i, t, q, *_ in data if q == s)
-        mine.sort(key=lambda m: (m[0] >> 52, m[1]))
-        used, extra, over = 0, Counter(), False
-        for _, _, i, w in mine:
-            over = over or used + w > budget
-            if not over and budget:
-                used += w
-                extra[i if i != -1 else None] += 1
-        for (i, q), c in copies.items():
-            if q == s:
-                assert n[(i, s)] in ({full * c + extra[i]} if budget else {full * c}), (s, i, x)
-    assert all(n[k] >= c for k, c in copies.items())
+        mine = sorted((place(i, t), i, t) for i, t, q in copies if q == s)
+        used = 0
+        for _, i, t in mine:
+            used += words(t) * copies[i, t, s]
+            assert n[i, t, s] == copies[i, t, s] * (full + (used <= budget and budget > 0)), (s, i, x)
+    assert all(r.place == place(r.doc_id, r.text, r._epoch) for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def place(i, text, epoch=None):
+    k = int(hashlib.md5(f"3:{'' if i is None else i}:{text or ''}".encode()).hexdigest()[:15], 16)
+    return k if epoch is None else int(hashlib.md5(f"3:{epoch}:{k}".encode()).hexdigest()[:15], 16)
+
+
+def test_ties_whatever_the_partitions(spark):
+    """Ids that are null or repeat, and rows that repeat, in 1, 3 and 7 partitions."""
+    rng = random.Random(7)
+    data = [(rng.choice([None, 7, i]), f"{'w ' * rng.choice([3, 12, 25])}{i % 90}", rng.choice(["big"] * 5 + ["small"]), i % 2, "b") for i in range(300)]
+    data += data[:40]
+    frames = [spark.createDataFrame(data, SCHEMA).repartition(k) for k in (1, 3, 7)]
+    mixed = [sorted(map(str, mixing.mix(f, most_epochs=1.7).collect())) for f in frames]
+    assert mixed[0] == mixed[1] == mixed[2] and len(mixed[0]) > len(data)
+    packed = [packing.pack(f, capacity=10, shard=50).collect() for f in frames]
+    assert sorted(map(str, packed[0])) == sorted(map(str, packed[1])) == sorted(map(str, packed[2]))
+    bins = defaultdict(list)
+    for r in packed[0]:
+        bins[r.bin].append(r)
+    assert all(sum(r.tokens for r in b) <= 10 and sorted(r.slot for r in b) == list(range(len(b))) for b in bins.values())
+    assert sum(r.tokens for r in packed[0]) == sum(len(t.split()) for _, t, *_ in data)
+
+
+def test_more_sources_than_the_driver_sums_up(spark, monkeypatch):
+    data = [(i, "w " * (1 + i % 13), f"s{min(i % 40, 16)}", 1, "b") for i in range(200)]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = sorted(map(str, mixing.mix(df, target_entropy=2.6, most_epochs=None).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    monkeypatch.setattr("allelica.llm.common.SMALL_ROWS", 3)
+    assert sorted(map(str, mixing.mix(df, target_entropy=2.6, most_epochs=None).collect())) == want and len(want) > 200
+
+
+@pytest.mark.parametrize("words", [300_000])
+def test_very_long_text(spark, words):
+    data = [(1, "w " * words, "a", 1, "b"), (2, "v " * 50, "b", 1, "b"), (3, None, None, 1, "b")]
+    df = spark.createDataFrame(data, SCHEMA)
+    bins = check_bins(data, packing.pack(df, capacity=1024).collect(), 1024, lambda i: i)
+    assert len(bins) == 294  # 292 full, a rest of 992, and 50
+    assert Counter(r.doc_id for r in mixing.mix(df, most_epochs=2.0).collect()) == {1: 1, 2: 2, 3: 2}
+
+
 def check_bins(data, got, capacity, cluster):
     words = {i: len((t or "").split()) for i, t, *_ in data}
     source = {i: s for i, _, s, *_ in data}
