@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,26 +53,39 @@ STEPS = np.array([
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int32)
 
 
+#: Rows that a worker holds the bytes of at once, about, and samples that are resampled at once.
+SLICE_BYTES, CHUNK = 8 << 20, 1 << 20
+
+
+def _adpcm_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By 16 times the step index plus the code: the change of the sample, and 16 times the next index."""
+    step, code = STEPS[:, None], np.arange(16, dtype=np.int32)[None, :]
+    size = (step >> 3) + np.where(code & 1, step >> 2, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 4, step, 0)
+    after = np.clip(np.arange(len(STEPS), dtype=np.int32)[:, None] + INDEX_CHANGE[None, :], 0, len(STEPS) - 1)
+    return np.where(code & 8, -size, size).astype(np.int32).ravel(), (after * 16).astype(np.int32).ravel()
+
+
+_CHANGE, _NEXT = _adpcm_tables()
+
+
 def decode_adpcm(data: bytes | np.ndarray, block: int) -> np.ndarray:
-    """PCM of mono IMA ADPCM blocks of ``block`` bytes; an incomplete last block is refused."""
+    """PCM of mono IMA ADPCM blocks of ``block`` bytes, step by step across all blocks; an incomplete last block is refused."""
     raw = np.frombuffer(data, np.uint8) if isinstance(data, (bytes, bytearray, memoryview)) else data
     if block < 5 or len(raw) % block:
         raise ValueError("ADPCM data must be whole blocks of at least 5 bytes")
     b = raw.reshape(-1, block)
     value = b[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
-    index = np.minimum(b[:, 2].astype(np.int32), len(STEPS) - 1)
-    codes = np.empty((len(b), 2 * (block - 4)), np.uint8)
-    codes[:, 0::2], codes[:, 1::2] = b[:, 4:] & 15, b[:, 4:] >> 4
-    out = np.empty((len(b), codes.shape[1] + 1), np.int16)
-    out[:, 0] = value
-    for k in range(codes.shape[1]):
-        code = codes[:, k].astype(np.int32)
-        step = STEPS[index]
-        diff = (step >> 3) + np.where(code & 1, step >> 2, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 4, step, 0)
-        value = np.clip(value + np.where(code & 8, -diff, diff), -32768, 32767)
-        index = np.clip(index + INDEX_CHANGE[code], 0, len(STEPS) - 1)
-        out[:, k + 1] = value
-    return out.ravel()
+    at = np.minimum(b[:, 2].astype(np.int32), len(STEPS) - 1) * 16
+    body = np.ascontiguousarray(b[:, 4:].T)
+    out = np.empty((2 * len(body) + 1, len(b)), np.int16)
+    out[0] = value
+    for k in range(2 * len(body)):
+        place = at + (body[k >> 1] >> 4 if k & 1 else body[k >> 1] & 15)
+        value += _CHANGE[place]
+        np.clip(value, -32768, 32767, out=value)
+        at = _NEXT[place]
+        out[k + 1] = value
+    return np.ascontiguousarray(out.T).ravel()
 
 
 def encode_adpcm(pcm: np.ndarray, block: int = 256) -> bytes:
@@ -140,24 +154,56 @@ def decode_wave(blob: bytes) -> tuple[np.ndarray, int]:
     raise ValueError(f"format {kind} isn't read")
 
 
-def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation at ``to`` samples a second, rounded down; the last sample is held."""
-    if rate == to or not len(pcm):
-        return pcm.astype(np.int16)
+def resample(pcm: np.ndarray, rate: int, to: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Linear interpolation at ``to`` samples a second, rounded down; the last sample is held. Samples ``first`` to ``last``, or all."""
     n = len(pcm) * to // rate
-    at = np.arange(n, dtype=np.int64) * rate
+    last = n if last is None else min(last, n)
+    if rate == to:
+        return pcm[first:last].astype(np.int16)
+    at = np.arange(first, max(first, last), dtype=np.int64) * rate
     k, rest = at // to, at % to
-    p = pcm.astype(np.int64)
-    after = p[np.minimum(k + 1, len(p) - 1)]
-    return ((p[k] * (to - rest) + after * rest) // to).astype(np.int16)
+    here, after = (pcm[np.minimum(k + d, len(pcm) - 1)].astype(np.int64) for d in (0, 1)) if len(at) else (at, at)
+    return ((here * (to - rest) + after * rest) // to).astype(np.int16)
+
+
+class Feature:
+    """Samples, peak, energy and sign changes of PCM that comes in chunks; exact integers."""
+
+    def __init__(self) -> None:
+        self.n = self.peak = self.energy = self.crossings = 0
+        self.below: bool | None = None
+
+    def add(self, pcm: np.ndarray) -> None:
+        if not len(pcm):
+            return
+        p, below = pcm.astype(np.int64), pcm < 0
+        self.n, self.peak, self.energy = self.n + len(p), max(self.peak, int(np.abs(p).max())), self.energy + int((p * p).sum())
+        self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (self.below is not None and bool(below[0]) != self.below)
+        self.below = bool(below[-1])
+
+    def __str__(self) -> str:
+        return f"n={self.n};peak={self.peak};energy={self.energy};crossings={self.crossings}"
 
 
 def feature(pcm: np.ndarray) -> str:
-    """Samples, peak, energy and sign changes, as text; exact integers."""
-    p = pcm.astype(np.int64)
-    peak = int(np.abs(p).max()) if len(p) else 0
-    crossings = int(np.count_nonzero((p[1:] < 0) != (p[:-1] < 0)))
-    return f"n={len(p)};peak={peak};energy={int((p * p).sum())};crossings={crossings}"
+    f = Feature()
+    f.add(pcm)
+    return str(f)
+
+
+def wave_header(kind: int, size: int, rate: int, bits: int, block: int) -> bytes:
+    """What :func:`wave` puts before ``size`` bytes of data."""
+    head = wave(kind, b"", rate, bits, block)
+    return head[:4] + struct.pack("<I", len(head) - 8 + size + size % 2) + head[8:-4] + struct.pack("<I", size)
+
+
+def _by_bytes(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes (one longer row is one run)."""
+    n = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy().astype(np.int64) + 64)
+    i = 0
+    while i < len(n):
+        j = int(np.searchsorted(n, (n[i - 1] if i else 0) + size, side="right"))
+        yield i, (i := max(j, i + 1))
 
 
 def _pad(raw: bytes) -> bytes:
@@ -166,8 +212,8 @@ def _pad(raw: bytes) -> bytes:
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
+        for i, j in _by_bytes(batch["raw"]):
+            part = batch.slice(i, j - i)
             raw = [(t or b"") for t in part["raw"].to_pylist()]
             media = [wave(MU_LAW, _pad(r)) for r in raw]
             yield pa.record_batch([part["id"], pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
@@ -178,6 +224,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     One row for each input row: ``id``, ``n_bytes`` (without padding) and
     ``media``.  Null texts are empty; an empty payload is one unit of padding.
+    Ids may be null or repeat.  Workers hold ``SLICE_BYTES`` of texts at once, or
+    one longer text.  An empty table gives no rows.  Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     return d.mapInArrow(_store, "id long, n_bytes long, media binary")
@@ -186,8 +234,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _decode(rate: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i, j in _by_bytes(batch["media"]):
+                part = batch.slice(i, j - i)
                 out = []
                 for blob in part["media"].to_pylist():
                     try:
@@ -213,25 +261,66 @@ def to_pcm(media: DataFrame, rate: int = 16000, id_col: str = "id", media_col: s
 
 
 def _read_back(rate: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = []
-                for blob in part["media"].to_pylist():
-                    data = parse_wave(blob)[3]
-                    pcm, own = decode_wave(blob)
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(resample(pcm, own, rate))))
-                cols = [part["id"], part["n_bytes"], *[pa.array([r[k] for r in rows], kinds[k + 2]) for k in range(6)]]
-                yield pa.record_batch(cols, names=names)
+            for i, j in _by_bytes(batch["media"]):
+                part = batch.slice(i, j - i)
+                blobs = part["media"].to_pylist()
+                files = [parse_wave(b) for b in blobs]
+                data = [f[3] for f in files]
+                rows = [
+                    (len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(b), hashlib.sha256(b).hexdigest(), f"{_stored_pcm(*f[:2], d, rate)};alaw={a};adpcm={c}")
+                    for b, f, d, a, c in zip(blobs, files, data, _a_law_crcs(data), _adpcm_crcs(data), strict=True)
+                ]
+                yield pa.record_batch([part["id"], part["n_bytes"], *[pa.array([r[k] for r in rows], kinds[k + 2]) for k in range(6)]], names=names)
 
     return read
 
 
+def _stored_pcm(kind: int, own: int, data: bytes, rate: int) -> str:
+    """The feature of a telephony payload's PCM at ``rate``, and the digest of the WAVE file that stores it."""
+    pcm, f = (MU_LAW_TABLE if kind == MU_LAW else A_LAW_TABLE)[np.frombuffer(data, np.uint8)], Feature()
+    n = len(pcm) * rate // own
+    sha = hashlib.sha256(wave_header(PCM, 2 * n, rate, 16, 2))
+    for k in range(0, n, CHUNK):
+        part = resample(pcm, own, rate, k, k + CHUNK)
+        f.add(part)
+        sha.update(part.astype("<i2").tobytes())
+    return f"{f};pcm={sha.hexdigest()}"
+
+
+def _a_law_crcs(data: list[bytes]) -> list[int]:
+    """Checksums of the payloads expanded as A-law."""
+    return [zlib.crc32(A_LAW_TABLE[np.frombuffer(d, np.uint8)].astype("<i2").tobytes()) for d in data]
+
+
+def _adpcm_crcs(data: list[bytes]) -> list[int]:
+    """Checksums of the payloads decoded as ADPCM blocks of ``UNIT`` bytes, all payloads' blocks at once."""
+    owner = np.repeat(np.arange(len(data)), [len(d) // UNIT for d in data])
+    crc, raw = [0] * len(data), np.frombuffer(b"".join(data), np.uint8).reshape(-1, UNIT)
+    step = SLICE_BYTES // UNIT
+    for k in range(0, len(raw), step):
+        pcm = decode_adpcm(raw[k : k + step].ravel(), UNIT).reshape(-1, 2 * (UNIT - 4) + 1)
+        who = owner[k : k + step]
+        edge = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            crc[who[a]] = zlib.crc32(pcm[a:b].astype("<i2").tobytes(), crc[who[a]])
+    return crc
+
+
 def digests(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """Reads stored media back and returns digests of payload and file, and a feature of the resampled PCM."""
+    """Reads what :func:`store` made back, and returns digests and a feature.
+
+    The payload is decoded three times: expanded as mu-law, resampled and stored
+    as a PCM WAVE file at ``rate`` (the feature's ``n``, ``peak``, ``energy``,
+    ``crossings``, and ``pcm``, the file's SHA-256), expanded as A-law, and
+    decoded as ADPCM blocks of ``UNIT`` bytes (``alaw`` and ``adpcm``, checksums of
+    the samples).  Columns: ``id``, ``n_bytes``, ``payload_bytes``,
+    ``payload_sha256``, ``tail_crc32``, ``media_bytes``, ``media_sha256``, ``feature``.
+    """
     return media.mapInArrow(
         _read_back(rate),
         "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",

@@ -54,8 +54,10 @@ def test_resample():
     assert audio.resample(x, 2, 1).tolist() == [0]
 
 
-def test_texts_round_trip(spark):
-    rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 576), (5, "y" * 577), (6, "héllo"), (None, "z"), (7, "w" * 100_000)]
+def test_texts_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(audio, "CHUNK", 1001)
+    monkeypatch.setattr(audio, "SLICE_BYTES", 40 * 576)
+    rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 576), (5, "y" * 577), (6, "héllo"), (None, "z"), (7, "w" * 100_000), (8, "long and varied " * 20_000 + "z")]
     df = spark.createDataFrame([(i, t, b"m") for i, t in rows], "doc_id long, text string, media binary")
     stored = audio.store(df)
     got = {r.id: r for r in audio.digests(stored).collect()}
@@ -70,7 +72,16 @@ def test_texts_round_trip(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_bytes == len(files[i]) and r.media_sha256 == hashlib.sha256(files[i]).hexdigest()
         assert audio.parse_wave(files[i])[3] == payload
         pcm = audio.MU_LAW_TABLE[np.frombuffer(payload, np.uint8)]
-        assert r.feature == audio.feature(audio.resample(pcm, 8000, 16000))
+        twice = audio.resample(pcm, 8000, 16000)
+        a_law = zlib.crc32(audio.A_LAW_TABLE[np.frombuffer(payload, np.uint8)].tobytes())
+        samples = [v for k in range(0, min(size, 5760), 576) for v in scalar_adpcm(payload[k : k + 576])]
+        assert audio.decode_adpcm(payload, 576)[: len(samples)].tolist() == samples
+        adpcm = zlib.crc32(audio.decode_adpcm(payload, 576).tobytes())
+        file = audio.wave(audio.PCM, twice.tobytes(), 16000, 16, 2)
+        assert r.feature == f"{audio.feature(twice)};pcm={hashlib.sha256(file).hexdigest()};alaw={a_law};adpcm={adpcm}"
+        p = twice.astype(int)
+        signs = [v < 0 for v in p.tolist()]
+        assert audio.feature(twice) == f"n={len(p)};peak={abs(p).max()};energy={(p * p).sum()};crossings={sum(x != y for x, y in zip(signs, signs[1:]))}"
     assert got[1].feature == got[6].feature and got[2].feature == got[3].feature
     assert audio.digests(audio.store(df.limit(0))).count() == 0
 
