@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelica.llm.linear import hinge_dual_dense, sigmoid
 from allelica.llm.textblocks import buffers, slices
 
 BITS = 13
-#: Training documents of each language, at most, and languages, at most.
-PER_LANGUAGE, LANGUAGES = 400, 200
+#: Training documents of each language, at most, and of all languages, about: with more than 200 languages each has fewer.
+PER_LANGUAGE, SAMPLE = 400, 80_000
 
 #: Families of ISO 639-1 codes. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -68,33 +68,46 @@ class Model:
         family = [self.families.index(_FAMILY.get(x, f"only {x}")) for x in self.langs]
         self.members = [[k for k, f in enumerate(family) if f == g] for g in range(len(self.families))]
         self.pairs = [(i, j) for m in self.members for a, i in enumerate(m) for j in m[a + 1 :]]
-        y = np.array([self.langs.index(x) for x in langs], dtype=np.int64)
-        x = self._frequencies(texts)
+        at = {x: k for k, x in enumerate(self.langs)}
+        y = np.array([at[x] for x in langs], dtype=np.int64)
         rows = len(self.families) + len(self.pairs)
         self.weight, self.bias = np.zeros((1 << BITS, max(rows, 1)), np.float32), np.zeros(max(rows, 1))
         if not len(y):
             return
-        of = np.array(family)[y]
-        base = x.mean(0) + 1e-7
+        of, every = np.array(family)[y], np.zeros(1 << BITS)
         for g in range(len(self.families)):
-            p = x[of == g].mean(0) + 0.02 * base
+            total, n = self._sum([texts[k] for k in np.flatnonzero(of == g)])
+            self.weight[:, g] = total / n
+            every += total
+        base = every / len(y) + 1e-7
+        for g in range(len(self.families)):
+            p = self.weight[:, g] + 0.02 * base
             self.weight[:, g] = np.log(p / p.sum()) - np.log(base / base.sum())
         for k, (i, j) in enumerate(self.pairs, len(self.families)):
-            use = (y == i) | (y == j)
+            use = np.flatnonzero((y == i) | (y == j))
             sign = np.where(y[use] == j, 1.0, -1.0)
             share = np.array([(sign < 0).mean(), (sign > 0).mean()])
-            w, b = hinge_dual_dense(x[use] * 20.0, sign, 5.0 / share[(sign > 0).astype(int)])
+            x = np.concatenate([f for f, _ in self._frequencies([texts[k] for k in use])])
+            w, b = hinge_dual_dense(x * 20.0, sign, 5.0 / share[(sign > 0).astype(int)])
             self.weight[:, k], self.bias[k] = w * 20.0, b
 
     @staticmethod
-    def _frequencies(texts: list[str]) -> np.ndarray:
-        out = []
+    def _frequencies(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+        """Relative frequencies of trigrams, a few documents at a time, and how many these are."""
         for _, _, data, off in slices(*buffers(pa.array(texts, pa.string()))):
             bins, n = _grams(data, off)
-            doc = np.repeat(np.arange(len(n)), n)
-            f = np.bincount((doc << BITS) | bins, minlength=len(n) << BITS).reshape(len(n), -1)
-            out.append((f / np.maximum(n, 1)[:, None]).astype(np.float32))
-        return np.concatenate(out) if out else np.zeros((0, 1 << BITS), np.float32)
+            edge = np.concatenate([[0], np.cumsum(n)])
+            for i in range(0, len(n), 256):
+                m = n[i : i + 256]
+                doc = np.repeat(np.arange(len(m)), m)
+                f = np.bincount((doc << BITS) | bins[edge[i] : edge[i + len(m)]], minlength=len(m) << BITS).reshape(len(m), -1)
+                yield (f / np.maximum(m, 1)[:, None]).astype(np.float32), len(m)
+
+    def _sum(self, texts: list[str]) -> tuple[np.ndarray, int]:
+        total, n = np.zeros(1 << BITS), 0
+        for f, m in self._frequencies(texts):
+            total, n = total + f.sum(0, dtype=np.float64), n + m
+        return total, n
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language (its index) and score of each document."""
@@ -137,24 +150,21 @@ class Model:
 def train(docs: DataFrame, eligible: Column, lang: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """Fits on at most ``per_language`` documents of each language among the ``eligible`` rows with a language.
 
-    Ids with the least hash are taken, found without reading texts; a table
-    with more than ``LANGUAGES`` languages is refused.
+    Ids with the least hash are taken, found without reading texts, all
+    languages in one pass.  Documents of all languages together are about
+    ``SAMPLE`` at most.  Of rows with one id the least language and text count.
     """
     ok = docs.where(eligible & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
-    ok = ok.select(F.col(id_col).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"))
-    langs = sorted(r.lang for r in ok.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    both = ok.select(F.col(id_col).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"))
+    langs = both.select("lang").distinct().count()
     if not langs:
         return Model([], [])
-    sample = None
-    for x in langs:
-        part = ok.where(F.col("lang") == x).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    d = docs.where(eligible & F.col(lang).isNotNull() & F.col(text_col).isNotNull())
-    d = d.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    # bounded: per_language ids of each language; a repeated id is used once
-    got = d.join(F.broadcast(sample.distinct()), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+    # a partition sends the first rows of a language only, so that no language is gathered in one task
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    sample = both.withColumn("rank", rank).where(F.col("rank") <= max(1, min(per_language, SAMPLE // langs))).select("id", "lang").distinct()
+    d = ok.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # bounded: about SAMPLE rows
+    got = d.join(F.broadcast(sample), ["id", "lang"]).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row")).select("id", "row.*").toPandas().sort_values("id")
     return Model(got["text"].tolist(), got["lang"].tolist())
 
 
@@ -179,7 +189,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``und`` with score 0 where the text is null or has no letter, or where the
     model has no languages.  Texts with too few letters for a trigram get the
-    most likely family and language without evidence.  Only the text is read.
+    most likely family and language without evidence; of languages that tie the
+    first in the alphabet wins.  Whole texts count, however long.  Ids may be null
+    or repeat; an empty table gives no rows.  Only the text is read, so other
+    columns may have any name.
     """
     text = F.col(text_col).cast("string")
     real = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

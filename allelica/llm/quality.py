@@ -122,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, eligible, label: str = "quality",
     """Fits on at most ``per_class`` labelled documents of each class among the ``eligible`` rows of ``labels``."""
     sample = bounded_sample(labels, label, id_col, eligible, per_class)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # bounded: 2 * per_class ids; a repeated id is used once
-    got = d.join(F.broadcast(sample), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+    # bounded: 2 * per_class ids; of rows with one id the least text is used
+    got = d.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id")
     return fit([None if t is None else t for t in got["text"].tolist()], got["y"].to_numpy())
 
 
@@ -131,7 +131,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row for each input row: ``id`` and ``score``, 0 to 1, higher where label 1 is likelier.
 
     Null and empty texts get the score of a document without features.  Only
-    the text is an input of the score.  Other columns are not read.
+    the text, all of it, is an input of the score.  Ids may be null or repeat; an
+    empty table gives no rows.  Other columns are not read, whatever their names.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -201,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, eligible, label: str = "toxic", id
     """Fits on at most ``per_class`` labelled documents of each class among the ``eligible`` rows of ``labels``."""
     sample = bounded_sample(labels, label, id_col, eligible, per_class)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # bounded: 2 * per_class ids; a repeated id is used once
-    got = d.join(F.broadcast(sample), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+    # bounded: 2 * per_class ids; of rows with one id the least text is used
+    got = d.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id")
     return fit(got["text"].tolist(), got["y"].to_numpy())
 
 
@@ -225,7 +225,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``spans`` are the significant toxic passages: bytes ``first`` to ``last``
     of the UTF-8 text, and how many as good are expected in a clean text of
-    that length.  Null and empty texts have none.  Only the text is read.
+    that length.  Null and empty texts have none.  Only the text, all of it, is
+    read, whatever the names of other columns.  Ids may be null or repeat; an empty
+    table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

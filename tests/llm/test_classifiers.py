@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -22,8 +25,10 @@ def documents(spark):
 
 
 def edge_rows(spark, df):
+    """Some rows and edge cases, with columns named like those that operators use themselves."""
     e = spark.createDataFrame([(i, t, "zz", None, 0) for i, t in EDGE], df.schema)
-    return df.limit(5).unionByName(e).unionByName(e.limit(1))
+    d = df.limit(5).unionByName(e).unionByName(e.limit(1))
+    return d.withColumns({c: F.lit("clash") for c in ("id", "score", "real", "spans", "lang_pred", "y", "h")})
 
 
 @pytest.mark.parametrize("name, module, label, modulus, rest", [("quality", quality, "quality", 3, 1), ("toxicity", toxicity, "toxic", 5, 0)])
@@ -168,3 +173,147 @@ def test_url_models_tell_kinds_apart():
     m = urls.Model(both, np.arange(600) % 2 == 0)
     r = m.ratio(*buffers(pa.array(["https://site3.org/news/5", "http://win2.biz/casino?id=7"])))
     assert r[0] >= m.threshold > r[1]
+
+
+M, C1, C2, GOLD, STEP = (1 << 64) - 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def mixed(x):
+    x = (x ^ x >> 30) * C1 & M
+    x = (x ^ x >> 27) * C2 & M
+    return x ^ x >> 31
+
+
+def joined(a, b):
+    return mixed(a * STEP + (b ^ GOLD) & M)
+
+
+def word_hash(w):
+    if len(w) > 64:
+        return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    out = mixed(int.from_bytes(w[:8], "little") + len(w) * GOLD & M)
+    for k in range(8, len(w), 8):
+        out = joined(out, int.from_bytes(w[k : k + 8], "little"))
+    return out
+
+
+def lower(raw):
+    return bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+
+
+def plain_sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+SAMPLES = ["The quick, BROWN fox fox 12x (jumps) -- over the lazy dog. Vile scum3!", "", "a", "É à la carte; naïve café", "aaa aaa bbb aaa " * 7, "x" * 70 + " tail tail", None, "Buy NOW!!! $$$ 100%   \n\t ok"]
+
+
+def some_texts(spark):
+    return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()] + SAMPLES
+
+
+def test_quality_scores_by_brute_force(spark):
+    docs, labels = documents(spark)
+    m = quality.train(docs, labels, F.lit(True))
+    kind = lambda b: 16 if b >= 128 else 0 if chr(b).isspace() else 1 if chr(b).islower() else 2 if chr(b).isupper() else 4 if chr(b).isdigit() else 8
+    want, texts = [], some_texts(spark)
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+        h = [word_hash(lower(w)) for w in words]
+        tokens, found = [], set()
+        for i, w in enumerate(words):
+            shape = 0
+            for b in w:
+                shape |= kind(b)
+            ends = (w[-1] if kind(w[-1]) == 8 else 0) << 8 | (w[0] if kind(w[0]) == 8 else 0)
+            again = sum(1 << k - 1 for k in (1, 2) if i >= k and h[i] == h[i - k])
+            tokens.append(mixed(shape << 40 | ends << 16 | (kind(w[0]) == 2) << 8 | again))
+            found |= {mixed(h[i] ^ 11), joined(tokens[i], min(7, int(math.log2(len(w) + 1))))}
+        for i in range(len(words) - 1):
+            run = joined(tokens[i], tokens[i + 1])
+            found.add(run ^ 1)
+            if i + 2 < len(words):
+                found.add(joined(run, tokens[i + 2]) ^ 2)
+        bins = {f >> 64 - quality.BITS for f in found}
+        want.append(plain_sigmoid(m.slope * (sum(float(m.weight[f]) for f in bins) + m.bias) + m.shift))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.score for r in quality.score(df, m).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-9)
+
+
+def test_languages_by_brute_force(spark):
+    docs, _ = documents(spark)
+    m = langid.train(docs, F.lit(True))
+    texts = some_texts(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.lang_pred, r.score) for r in langid.identify(df, m).collect()}
+    nf = len(m.families)
+    for k, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert got[k] == ("und", 0.0)
+            continue
+        raw = bytes(b if b >= 128 else lower(bytes([b]))[0] if chr(b).isalpha() else 32 for b in t.encode())
+        grams = [int.from_bytes(raw[i : i + 3], "big") for i in range(len(raw) - 2)]
+        bins = [(g * 2654435761 & 0xFFFFFFFF) >> 32 - langid.BITS for g in grams if g != 0x202020]
+        value = [sum(float(m.weight[b, c]) for b in bins) / len(bins) if bins else 0.0 for c in range(m.weight.shape[1])]
+        lift = [v * math.sqrt(max(1, len(bins))) for v in value[:nf]]
+        p = [math.exp(x - max(lift)) for x in lift]
+        family = p.index(max(p))
+        members = m.members[family]
+        votes, margin = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+        for c, (i, j) in enumerate(m.pairs):
+            if i in votes:
+                x = value[nf + c] + m.bias[nf + c]
+                votes[j if x > 0 else i] += 1
+                margin[j] += plain_sigmoid(2 * x)
+                margin[i] += 1 - plain_sigmoid(2 * x)
+        best = max(members, key=lambda i: (votes[i], margin[i]))
+        score = max(p) / sum(p) * (margin[best] / (len(members) - 1) if len(members) > 1 else 1)
+        assert got[k][0] == m.langs[best] and got[k][1] == pytest.approx(score, abs=1e-6)
+
+
+def test_toxicity_by_brute_force(spark):
+    docs, labels = documents(spark)
+    m = toxicity.train(docs, labels, F.lit(True))
+    gain_of, price = dict(zip(m.hashes.tolist(), m.gain.tolist())), toxicity.PRICE
+    toxic = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").limit(25).collect()]
+    texts, want, spans = some_texts(spark) + toxic, [], []
+
+    def maximal(value, at):
+        """The best run, and those left and right of it, as Ruzzo and Tompa define them."""
+        best = max(((sum(value[a : b + 1]), a - b, a, b) for a in range(len(value)) for b in range(a, len(value))), default=(0,))
+        if best[0] <= 0:
+            return []
+        s, _, a, b = best
+        return maximal(value[:a], at) + [(s, at + a, at + b)] + maximal(value[b + 1 :], at + b + 1)
+
+    for t in texts:
+        raw = (t or "").encode()
+        tokens = [x.span() for x in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+        value = []
+        for a, b in tokens:
+            w = lower(raw[a:b])
+            forms = [word_hash(w)] + [word_hash(w[:k]) ^ 1 for k in toxicity.STEMS if len(w) > k] + [word_hash(w[-k:]) ^ 2 for k in toxicity.ENDINGS if len(w) > k]
+            best = max([gain_of.get(f, 0.0) for f in forms] + [0.0])
+            value.append(best if best else -price)
+        if sum(v > 0 for v in value) > 60 or len(value) > 700:
+            want.append(None)
+            continue
+        found = maximal(value, 0)
+        bits = sorted((m.decay * s - math.log(m.density * max(len(tokens), 1)) for s, _, _ in found), reverse=True)
+        evidence = 0.0
+        for r in range(1, len(bits) + 1):
+            top = sum(bits[:r])
+            if top <= 0 or r > 1 and bits[r - 1] <= 0:
+                break
+            fact = math.log(math.factorial(r)) + math.log(math.factorial(r - 1))
+            evidence = max(evidence, top - (r - 1) * math.log(max(top, 1.0)) + fact - r * math.log(2))
+        want.append(plain_sigmoid(m.slope * evidence + m.shift))
+        spans.append((len(want) - 1, [(tokens[a][0], tokens[b][1]) for s, a, b in found if m.density * len(tokens) * math.exp(-m.decay * s) <= toxicity.SIGNIFICANT]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in toxicity.score(df, m).collect()}
+    assert sum(w is not None for w in want) > 60
+    for k, w in enumerate(want):
+        assert w is None or got[k].score == pytest.approx(w, abs=1e-9), texts[k]
+    for k, mine in spans:
+        assert [(x.first, x.last) for x in got[k].spans] == mine
