@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelica.llm.common import cut, partitions
-from allelica.llm.graph import Forest, block_tasks, by_task, components, whole_groups
+from allelica.llm.graph import Forest, block_tasks, by_task, components, join_classes, whole_groups
 from allelica.llm.textblocks import Words, buffers, distinct_sorted, mix, reduce_docs, seeds, shingles, slices
 
 COORDINATES = 32
@@ -187,13 +187,14 @@ def near_duplicates(
     Null texts and texts without words have an empty set, are linked with
     nothing and are kept.  Rows with a null id are linked with nothing, have a
     null component and are kept.  Rows with equal ids count as one document in
-    links; each is returned.  Other columns of the input are not read.
+    links; each is returned.  Whole texts count, however long.  An empty table
+    gives no rows.  Other columns of the input are not read.
     """
     parts = partitions(docs)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(d.mapInArrow(_sign(shingle), "id long, n long, left long, right long, sig array<int>"))
     real = signed.where("n > 0 and id is not null")
-    classes = cut(real.groupBy("left", "right", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    classes = cut(real.groupBy("left", "right", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
 
     posted = classes.select("id", F.posexplode(F.slice("sig", 1, COORDINATES - matches + 1)).alias("at", "value"))
     key = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -208,10 +209,10 @@ def near_duplicates(
     links = by_task(found, parts, "grp").mapInArrow(_confirm(shingle, percent), "a long, b long")
     linked = components(links)
 
-    named = classes.select("left", "right", "n", F.col("id").alias("node")).join(linked, "node", "left")
-    named = named.select("left", "right", "n", F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(named, ["left", "right", "n"], "left")
-    own = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
+    named = classes.select("left", "right", "n", "copies", F.col("id").alias("node")).join(linked, "node", "left")
+    named = named.select("left", "right", "n", "copies", F.coalesce("component", "node").alias("component_id"))
+    out = join_classes(real.select("left", "right", "n", "id"), named, ["left", "right", "n"], ["component_id"]).select("id", "n", "component_id")
+    rest = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    return out.unionByName(rest).select("id", F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     )
