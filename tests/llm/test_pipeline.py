@@ -137,3 +137,27 @@ def test_stages_read_what_the_stage_before_wrote(spark, tables, monkeypatch):
     assert [[os.path.basename(d) for d in s] for s in seen[1:]] == [["0"], ["1"], ["2"], ["3"]]
     assert {os.path.basename(os.path.dirname(f)) for f in out.inputFiles()} == {"4"}
     assert out.count() > 100
+
+
+def test_run_scores_every_row_once(spark, tables, monkeypatch):
+    """One training pass and one scoring pass, whatever the later stages do."""
+    fits, scored = [], spark.sparkContext.accumulator(0)
+    apply, fit = quality._apply, quality.fit
+
+    def counted(model):
+        inner = apply(model)
+
+        def score(batches):
+            def seen():
+                for batch in batches:
+                    scored.add(batch.num_rows)
+                    yield batch
+
+            yield from inner(seen())
+
+        return score
+
+    monkeypatch.setattr(quality, "_apply", counted)
+    monkeypatch.setattr(quality, "fit", lambda texts, y: fits.append(len(texts)) or fit(texts, y))
+    assert cp.run(spark, tables).count() > 100
+    assert scored.value == spark.read.parquet(f"{tables}/documents.parquet").count() and len(fits) == 1
