@@ -58,7 +58,7 @@ def gc_corrected(kept: DataFrame, gc: DataFrame, group: list[str], worst: float
     """Values without their dependence on GC: a line is fitted, the worst windows go, it is fitted again and taken off."""
     d = kept.join(gc, [*group, "start"])
     line = lambda t: t.groupBy(*group).agg(F.regr_slope("log2", "gc").alias("m"), F.regr_intercept("log2", "gc").alias("b"), F.avg("log2").alias("mean"))
-    e = d.join(line(d), group).withColumn("err", F.abs(F.col("log2") - (F.col("m") * F.col("gc") + F.col("b"))))
+    e = d.join(line(d), group).withColumn("err", F.round(F.abs(F.col("log2") - (F.col("m") * F.col("gc") + F.col("b"))), 9))
     w = Window.partitionBy(*group)
     ranked = e.withColumn("r", F.row_number().over(w.orderBy(F.desc("err"), "start"))).withColumn("all", F.count("*").over(w))
     good = ranked.where(F.col("r") > F.floor(F.col("all") * worst)).drop("m", "b", "mean", "all")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelica.functions.bases import BASES
+from allelica.functions.draws import uniform
 from allelica.operators.pileup import draws_between
 from allelica.plans.mm import collapse, cumulate
 
@@ -98,7 +99,7 @@ def nonredundant(table: DataFrame, keys: list[str], level: int | None = None) ->
 
 def rarefied(table: DataFrame, n: int = MIN_SNP, seed: int = 0) -> DataFrame:
     """r2 and D' of ``n`` links drawn from each row's links, seeded by the row."""
-    u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "position_A", "position_B", "mm", i), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("total"))
+    u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: uniform(seed, "scaffold", "position_A", "position_B", "mm", i) * F.col("total"))
     d, below, picks = table.withColumn("u", u), F.lit(0).cast("long"), []
     for k in range(4):
         lo, hi = below, below + F.col("counts")[k]

@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelica.functions.draws import uniform
+
 FDR, ERROR, DEEPEST = 1e-6, 1e-3, 10_000
 
 
@@ -77,7 +79,7 @@ def simulate(spark: SparkSession, deepest: int, bootstraps: int, error: float =
     draws = spark.range(1, deepest).select(F.col("id").alias("coverage"))
     draws = draws.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(bootstraps))))
     # a draw's number of errors on each base, by one uniform number for each read
-    u = F.transform(F.sequence(F.lit(1), F.col("coverage")), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("coverage"), F.col("boot"), i), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    u = F.transform(F.sequence(F.lit(1), F.col("coverage")), lambda i: uniform(seed, "coverage", "boot", i))
     draws = draws.withColumn("u", u)
     counts = [_between("u", k * error / 3, (k + 1) * error / 3) for k in range(3)]
     got = draws.select("coverage", F.explode(F.array(*counts)).alias("n")).where("n > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from allelica.functions.bases import BASES, expected_breadth, ratio, square_sum, total
+from allelica.functions.draws import uniform
 from allelica.plans.mm import MAX_MM, carry_forward, collapse, cumulate
 
 WINDOW_LENGTH, MIN_COV, RAREFIED = 10_000, 5, 50
@@ -165,7 +166,7 @@ def draws_between(column: str, low: Column, high: Column) -> Column:
 def rarefy(cum: DataFrame, keys: list[str], n: int = RAREFIED, seed: int = 0) -> DataFrame:
     """Clonality of ``n`` reads drawn from each site deep enough, seeded by the site, whatever the partitioning."""
     d = cum.where(total() >= n)
-    u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pmod(F.xxhash64(F.lit(seed), *keys, "position", "mm", i), F.lit(1 << 40)) / F.lit(float(1 << 40)) * total())
+    u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: uniform(seed, *keys, "position", "mm", i) * total())
     d = d.withColumn("u", u)
     edges, below = [], F.lit(0).cast("long")
     for b in BASES:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from allelica.functions.draws import uniform
+
 #: Insert sizes of what isn't a pair, and of pairs merged over two scaffolds.
 NO_INSERT, MERGED_INSERT = -1, -2
 PAIRING = ("paired_only", "non_discordant", "all_reads")
@@ -171,4 +173,4 @@ def genome_coverage_prefilter(report: DataFrame, lengths: DataFrame, stb: DataFr
 
 def subsample(reads: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """A share of the read names by a hash, so that mates stay together."""
-    return reads.where(F.pmod(F.xxhash64("read_name", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)))
+    return reads.where(uniform(seed, "read_name") < fraction)

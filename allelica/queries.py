@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from allelica.functions.bases import BASES, expected_breadth
 from allelica.functions.codons import CODE, SYNONYMOUS
+from allelica.functions.draws import uniform_sql
 from allelica.operators import annotations as an
 from allelica.operators import cluster, compare, genes, genomes, irep, legacy, linkage, logs, nullmodel, pileup, plotdata, pooling, quick, reads, variants
 from allelica.plans.lineage import cut
@@ -497,7 +499,7 @@ def _f17(spark, sf):
     return reads.kept_pairs(evaluated(spark, sf))
 
 
-@query("s19_subsample")
+@query("s19_subsample", f"SELECT scaffold, read_name, ref_start FROM rds WHERE {uniform_sql('0', 'read_name')} < 0.25", "rds")
 def _s19(spark, sf):
     return reads.subsample(ad.reads(spark, sf), 0.25).select("scaffold", "read_name", "ref_start")
 
@@ -543,7 +545,17 @@ def _p6(spark, sf):
     return clon(spark, sf)
 
 
-@query("p7_rarefied_clonality")
+_PICK = lambda lo, hi, n: f"(count(*) FILTER (WHERE u >= {lo} AND u < {hi}) / {n}.0)"
+_EDGES = [("0", "A"), ("A", "A + C"), ("A + C", "A + C + T"), ("A + C + T", "A + C + T + G")]
+
+
+@query(
+    "p7_rarefied_clonality",
+    f"""SELECT sample, scaffold, position, mm, {" + ".join(f"{_PICK(a, b, 20)} * {_PICK(a, b, 20)}" for a, b in _EDGES)} AS clonality_rarefied
+    FROM (SELECT *, {uniform_sql("0", "sample", "scaffold", "position", "mm", "i")} * (A + C + T + G) AS u FROM cum, range(1, 21) t(i) WHERE A + C + T + G >= 20) GROUP BY sample, scaffold, position, mm, A, C, T, G""",
+    "cum",
+    "clonality_rarefied",
+)
 def _p7(spark, sf):
     return pileup.rarefy(pileup.cumulative(plain_sites(spark, sf), K), K, 20)
 
@@ -569,12 +581,24 @@ def _p10(spark, sf):
 # variants
 
 
-@query("d1_null_model", "SELECT depth AS coverage, " + _NEED + " AS min_bases FROM range(1, 10000) t(depth)")
+@query(
+    "d1_null_model",
+    """SELECT coverage, CAST(min(k) FILTER (WHERE 3 * tail < 1e-6) - 1 AS INTEGER) AS min_bases FROM (SELECT coverage, k, sum(pmf) OVER (PARTITION BY coverage ORDER BY k DESC) AS tail FROM
+    (SELECT coverage, k, CASE WHEN k > coverage THEN 0 ELSE exp(lgamma(coverage + 1) - lgamma(k + 1) - lgamma(greatest(coverage - k, 0) + 1) + k * ln(0.001 / 3) + (coverage - k) * ln(1 - 0.001 / 3)) END AS pmf
+    FROM range(1, 10000) c(coverage), range(0, 80) d(k))) WHERE k > 0 GROUP BY coverage""",
+)
 def _d1(spark, sf):
     return nullmodel.table(spark)
 
 
-@query("v9_null_model_simulation")
+@query(
+    "v9_null_model_simulation",
+    f"""SELECT coverage, errors, count(*) / 200.0 AS probability FROM (SELECT coverage, unnest(range(1, n + 1)) AS errors FROM
+    (SELECT coverage, boot, k, count(*) FILTER (WHERE u >= k * 0.05 / 3 AND u < (k + 1) * 0.05 / 3) AS n FROM (SELECT coverage, boot, {uniform_sql("0", "coverage", "boot", "i")} AS u FROM
+    range(1, 60) c(coverage), range(1, 201) b(boot), range(1, 60) r(i) WHERE i <= coverage), range(3) e(k) GROUP BY 1, 2, 3)) GROUP BY 1, 2""",
+    "",
+    "probability",
+)
 def _v9(spark, sf):
     return nullmodel.simulate(spark, 60, 200, error=0.05)
 
@@ -617,7 +641,23 @@ def _l4(spark, sf):
     return d.select(*LK, "position_A", "position_B", "mm", "major_A", "minor_A", "major_B", "minor_B", *n, "total", "distance", "r2", "d_prime")
 
 
-@query("l5_rarefied_linkage")
+def _disequilibrium(n1: str, n2: str, n3: str, n4: str, src: str) -> str:
+    """r2 and D' of four numbers of links, as ``r2_normalized`` and ``d_prime_normalized``."""
+    return f"""SELECT * EXCLUDE (t_, pa, pb, d_), CASE WHEN pa > 0 AND pa < 1 AND pb > 0 AND pb < 1 THEN d_ * d_ / (pa * (1 - pa) * pb * (1 - pb)) END AS r2_normalized,
+    CASE WHEN {n1} * {n4} - {n2} * {n3} < 0 THEN d_ / greatest(-pa * pb, -(1 - pa) * (1 - pb)) WHEN {n1} * {n4} - {n2} * {n3} > 0 THEN d_ / least(pa * (1 - pb), (1 - pa) * pb) END AS d_prime_normalized
+    FROM (SELECT *, {n1} + {n2} + {n3} + {n4} AS t_, ({n1} + {n2}) / t_ AS pa, ({n1} + {n3}) / t_ AS pb, {n1} / t_ - pa * pb AS d_ FROM {src})"""
+
+
+_L_EDGES = [("0", "n1"), ("n1", "n1 + n2"), ("n1 + n2", "n1 + n2 + n3"), ("n1 + n2 + n3", "total")]
+
+
+@query(
+    "l5_rarefied_linkage",
+    "SELECT * EXCLUDE (k1, k2, k3, k4, n1, n2, n3, n4) FROM (" + _disequilibrium("k1", "k2", "k3", "k4", f"""(SELECT * EXCLUDE (i, u), {", ".join(f"count(*) FILTER (WHERE u >= {a} AND u < {b}) AS k{k + 1}" for k, (a, b) in enumerate(_L_EDGES))}
+    FROM (SELECT *, {uniform_sql("0", "scaffold", "position_A", "position_B", "mm", "i")} * total AS u FROM lld, range(1, 21) t(i)) GROUP BY ALL)""") + ")",
+    "lld",
+    "r2 d_prime r2_normalized d_prime_normalized",
+)
 def _l5(spark, sf):
     return linkage.rarefied(ld(spark, sf)).drop("counts")
 
@@ -744,7 +784,11 @@ FRAGMENTS["irp"] = """kw0 AS (SELECT *, median(y) OVER (PARTITION BY scaffold) A
     srt AS (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY l, start) - 1 AS i, count(*) OVER (PARTITION BY scaffold) AS n FROM kw JOIN lens USING (scaffold)),
     irp AS (SELECT scaffold, regr_slope(l, (i * length) // n + 1) AS slope, regr_r2(l, (i * length) // n + 1) AS r2, any_value(kept_windows) AS kept_windows, any_value(avg_cov) AS avg_cov, any_value(length) AS length
     FROM srt WHERE i >= floor(n * 0.05) AND i < n - floor(n * 0.05) GROUP BY 1)"""
-NEEDS |= {"dense": ["cov", "lens"], "win": ["dense"], "irp": ["win"]}
+FRAGMENTS["good"] = """gcw AS (SELECT scaffold, s AS start, length(regexp_replace(substr(sequence, s + 1, 50), '[AT]', '', 'g')) / 50.0 AS gc FROM (SELECT scaffold, sequence, unnest(range(0, length - 49, 10)) AS s FROM seqs)),
+    gck AS (SELECT scaffold, start, l, gc FROM kw JOIN gcw USING (scaffold, start)),
+    good AS (SELECT scaffold, start, l, gc FROM (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY err DESC, start) AS r, count(*) OVER (PARTITION BY scaffold) AS n FROM
+    (SELECT k.*, round(abs(l - (m * gc + b)), 9) AS err FROM gck k JOIN (SELECT scaffold, regr_slope(l, gc) AS m, regr_intercept(l, gc) AS b FROM gck GROUP BY 1) USING (scaffold))) WHERE r > floor(n * 0.01))"""
+NEEDS |= {"dense": ["cov", "lens"], "win": ["dense"], "irp": ["win"], "good": ["irp", "seqs"]}
 
 
 def dense(spark, sf):
@@ -831,14 +875,56 @@ def _c9(spark, sf):
     return compare.clusterable(genome_comparison(spark, sf)).select("genome", "name1", "name2", "compared_bases_count")
 
 
-@query("c10_strain_clusters")
+def _six(sql: str, ctes: str) -> str:
+    """SQL over six samples instead of two."""
+    return f"WITH RECURSIVE {', '.join(FRAGMENTS[c] for c in _closure(ctes.split()))} {sql}".replace("l_suppkey % 2", "l_suppkey % 6")
+
+
+@once(write=True)
+def six_samples(spark, sf):
+    """Comparisons of genomes over six samples, so that clusters have more than two members."""
+    s = pileup.site_counts(ad.observations(spark, sf, 6), KR)
+    v = variants.snvs(variants.evaluate_sites(pileup.cumulative(s, KR)), KR)
+    c, lens, stb = pileup.coverage(s.drop("ref_base"), K), ad.lengths(spark, sf), ad.stb(spark, sf)
+    sites_ = cut(compare.overlap_sites(c, compare.sample_pairs(c)))
+    table = compare.scaffold_comparison(compare.coverage_overlap(sites_), compare.snp_differences(sites_, compare.snp_table(v)), lens)
+    return compare.genome_comparison(table, stb, genomes.genome_lengths(lens, stb))
+
+
+_MEMBERS = """, mem AS (SELECT genome, sample, row_number() OVER (PARTITION BY genome ORDER BY sample) AS i FROM (SELECT genome, name1 AS sample FROM gx UNION SELECT genome, name2 FROM gx)),
+    dist AS (SELECT a.genome, a.i, b.i AS j, avg(1 - v) AS x, max(coverage_overlap) AS o FROM (SELECT genome, name1 AS s, name2 AS t, v, coverage_overlap FROM gx UNION ALL SELECT genome, name2, name1, v, coverage_overlap FROM gx) p
+    JOIN mem a ON a.genome = p.genome AND a.sample = s JOIN mem b ON b.genome = p.genome AND b.sample = t WHERE v IS NOT NULL GROUP BY 1, 2, 3)"""
+_NAMED = "SELECT genome, sample, (dense_rank() OVER (ORDER BY genome) - 1) || '_' || dense_rank() OVER (PARTITION BY genome ORDER BY c) AS cluster"
+
+
+@query(
+    "c10_strain_clusters",
+    _six(
+        """, gx AS (SELECT *, CASE WHEN percent_compared < 0.1 THEN 0 ELSE popANI END AS v FROM gcmp WHERE genome NOT IN (SELECT genome FROM gcmp WHERE compared_bases_count = 0))"""
+        + _MEMBERS
+        + f""", st(genome, step, i, c) AS (SELECT genome, 0, i, i FROM mem UNION ALL SELECT s.genome, s.step + 1, s.i, CASE WHEN s.c = m.b THEN m.a ELSE s.c END FROM st s JOIN
+    (SELECT genome, a, b FROM (SELECT x.genome, x.c AS a, y.c AS b, avg(d.x) AS h FROM st x JOIN st y ON x.genome = y.genome AND x.c < y.c JOIN dist d ON d.genome = x.genome AND d.i = x.i AND d.j = y.i GROUP BY 1, 2, 3)
+    QUALIFY row_number() OVER (PARTITION BY genome ORDER BY h, a, b) = 1 AND h <= 0.002 + 1e-12) m ON m.genome = s.genome)
+    {_NAMED} FROM (SELECT genome, i, c FROM st QUALIFY step = max(step) OVER (PARTITION BY genome)) JOIN mem USING (genome, i)""",
+        "gcmp",
+    ),
+)
 def _c10(spark, sf):
-    return cluster.strain_clusters(genome_comparison(spark, sf))
+    return cluster.strain_clusters(six_samples(spark, sf), ani=0.998)
 
 
-@query("c11_recluster")
+@query(
+    "c11_recluster",
+    _six(
+        ", gx AS (SELECT *, popANI AS v FROM gcmp)"
+        + _MEMBERS
+        + f""", st(genome, i, c) AS (SELECT genome, i, i FROM mem UNION SELECT d.genome, d.j, st.c FROM st JOIN dist d ON d.genome = st.genome AND d.i = st.i AND d.x <= 0.001 + 1e-12)
+    {_NAMED} FROM (SELECT genome, i, min(c) AS c FROM st GROUP BY 1, 2) JOIN mem USING (genome, i)""",
+        "gcmp",
+    ),
+)
 def _c11(spark, sf):
-    return cluster.recluster(genome_comparison(spark, sf), 99.0)
+    return cluster.recluster(six_samples(spark, sf), 99.9)
 
 
 @query("c13_scaffold_similarity", "SELECT a.scaffold AS scaffold1, b.scaffold AS scaffold2, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS similarity FROM (SELECT scaffold, list(DISTINCT sample) AS s FROM cov GROUP BY 1) a, (SELECT scaffold, list(DISTINCT sample) AS s FROM cov GROUP BY 1) b WHERE a.scaffold < b.scaffold AND len(list_intersect(a.s, b.s)) > 0", "cov", "similarity")
@@ -846,9 +932,20 @@ def _c13(spark, sf):
     return compare.scaffold_similarity(cov(spark, sf))
 
 
-@query("c14_greedy_clusters")
+@query(
+    "c14_greedy_clusters",
+    _six(
+        ", gx AS (SELECT *, popANI AS v FROM gcmp)"
+        + _MEMBERS
+        + """, st(genome, step, i, r) AS (SELECT genome, 1, i, i FROM mem WHERE i = 1 UNION ALL (SELECT genome, step + 1, i, r FROM st WHERE step < 6
+    UNION ALL SELECT m.genome, s.step + 1, m.i, coalesce(min(s.i) FILTER (WHERE s.i = s.r AND d.x <= 0.01 + 1e-12 AND d.o >= 0.36), m.i) FROM st s JOIN mem m ON m.genome = s.genome AND m.i = s.step + 1
+    LEFT JOIN dist d ON d.genome = m.genome AND d.i = s.i AND d.j = m.i GROUP BY m.genome, s.step, m.i))
+    SELECT st.genome, a.sample, b.sample AS representative FROM st JOIN mem a ON a.genome = st.genome AND a.i = st.i JOIN mem b ON b.genome = st.genome AND b.i = st.r WHERE step = 6""",
+        "gcmp",
+    ),
+)
 def _c14(spark, sf):
-    return cluster.greedy_clusters(genome_comparison(spark, sf))
+    return cluster.greedy_clusters(six_samples(spark, sf), 0.99, 0.36)
 
 
 # pooling
@@ -946,14 +1043,25 @@ def _q4(spark, sf):
     return quick.steps(spark, 100, 300, 9000, 5000, 3)
 
 
-@query("q5_rarefaction")
+def _share(f: float) -> str:
+    """The contig and genome tables of a share of the reads."""
+    tag = f"_{int(f * 100)}"
+    contigs = FRAGMENTS["ctg"]
+    for name in ("spans", "ok", "ctg"):
+        contigs = re.sub(rf"\b{name}\b", name + tag, contigs)
+    FRAGMENTS[f"ctg{tag}"] = f"rds{tag} AS (SELECT * FROM rds WHERE {uniform_sql('0', 'read_name')} < {f}), " + re.sub(r"\brds\b", f"rds{tag}", contigs)
+    NEEDS[f"ctg{tag}"] = ["rds", "lens", "stb"]
+    return f"SELECT *, CAST({f} AS DOUBLE) AS fraction FROM ({re.sub(r'\bctg\b', 'ctg' + tag, _QG)})"
+
+
+@query("q5_rarefaction", " UNION ALL ".join(_share(f) for f in (0.1, 0.5, 1.0)), "ctg_10 ctg_50 ctg_100", "breadth coverage")
 def _q5(spark, sf):
     return quick.rarefaction(ad.reads(spark, sf), ad.lengths(spark, sf), ad.stb(spark, sf), [0.1, 0.5, 1.0])
 
 
-@query("q6_mean_read_length", "SELECT avg(length) AS mean_length FROM (SELECT length FROM rds ORDER BY file_order LIMIT 500)", "rds", "mean_length")
+@query("q6_mean_read_length", "SELECT avg(length) AS mean_length FROM (SELECT length FROM rds ORDER BY file_order LIMIT 10000)", "rds", "mean_length")
 def _q6(spark, sf):
-    return quick.mean_read_length(ad.reads(spark, sf), 500)
+    return quick.mean_read_length(ad.reads(spark, sf))
 
 
 # plot data
@@ -1003,9 +1111,9 @@ def _t6(spark, sf):
     return plotdata.read_filtering(report(spark, sf).where("scaffold <> 'all_scaffolds'"))
 
 
-@query("t9_gene_ranks", "SELECT sample, gene, coverage, row_number() OVER (PARTITION BY sample ORDER BY coverage DESC, gene) - 1 AS rank FROM (SELECT sample, gene, round(coverage, 8) + 0.0 AS coverage FROM gcov WHERE mm = 4)", "gcov", "coverage")
+@query("t9_gene_ranks", "SELECT sample, gene, coverage, row_number() OVER (PARTITION BY sample ORDER BY coverage DESC, gene) - 1 AS rank FROM (SELECT sample, gene, round(coverage, 8) + 0.0 AS coverage FROM gcov QUALIFY row_number() OVER (PARTITION BY sample, gene ORDER BY mm DESC) = 1)", "gcov", "coverage")
 def _t9(spark, sf):
-    g = gene_cov(spark, sf).where("mm = 4").withColumn("coverage", F.round("coverage", PLACES) + F.lit(0.0))
+    g = collapse(gene_cov(spark, sf), [*K, "gene"]).withColumn("coverage", F.round("coverage", PLACES) + F.lit(0.0))
     return plotdata.rank_curve(g, ["sample"], "coverage", "gene").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -1101,7 +1209,12 @@ def _i3(spark, sf):
     return irep.kept_windows(w, ["scaffold"]).select("scaffold", "start", "y", "log2", "kept_share")
 
 
-@query("i6_gc_corrected")
+@query(
+    "i6_gc_corrected",
+    """SELECT scaffold, start, l + mean - (m * gc + b) AS corrected FROM (SELECT g.*, m, b, mean FROM good g JOIN (SELECT scaffold, regr_slope(l, gc) AS m, regr_intercept(l, gc) AS b, avg(l) AS mean FROM good GROUP BY 1) USING (scaffold))""",
+    "good",
+    "corrected",
+)
 def _i6(spark, sf):
     w = irep.kept_windows(irep.sliding_mean(dense(spark, sf), ["scaffold"], width=50, slide=10), ["scaffold"])
     return irep.gc_corrected(w, irep.sliding_gc(ad.sequences(spark, sf), ["scaffold"], 50, 10), ["scaffold"]).select("scaffold", "start", "corrected")

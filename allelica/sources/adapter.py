@@ -12,12 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, samples: int = 2) -> DataFrame:
     """One base of one read pair at one position, for each lineitem row."""
     d = table(spark, sf_dir, "lineitem").select(
         (F.col("l_partkey") % SCAFFOLDS).alias("sc"),
         F.expr(f"l_partkey div {SCAFFOLDS}").alias("position"),
-        (F.col("l_suppkey") % 2).alias("s"),
+        (F.col("l_suppkey") % samples).alias("s"),
         F.col("l_orderkey").alias("pair"),
         (F.col("l_orderkey") % 5).cast("int").alias("mm"),
         F.col("l_quantity").cast("int").alias("q"),
