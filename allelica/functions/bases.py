@@ -15,12 +15,13 @@ def total(prefix: str = "") -> Column:
 
 
 def top_base(counts: list[Column]) -> Column:
-    """The base with the greatest count."""
-    most = F.greatest(*counts)
-    out = F.lit(BASES[-1])
-    for b, c in reversed(list(zip(BASES[:-1], counts[:-1], strict=True))):
-        out = F.when(c == most, F.lit(b)).otherwise(out)
-    return out
+    """The base with the greatest count.
+
+    A count and its base's rank are one number, so that the expression stays small
+    where other ones contain it.
+    """
+    most = F.greatest(*[c * 4 + (len(BASES) - 1 - k) for k, c in enumerate(counts)])
+    return F.substring(F.lit("".join(reversed(BASES))), (most % 4 + 1).cast("int"), F.lit(1))
 
 
 def consensus(prefix: str = "") -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from allelica.functions.bases import expected_breadth, ratio
-from allelica.operators.pileup import zero_aware_median
-from allelica.plans.mm import carry_forward, collapse
+from allelica.plans.lineage import cut
+from allelica.plans.mm import carry_forward, collapse, cumulate, histogram_changes, medians, sums, with_last
 
 EDGE, SHORTEST = 100, 200
 
@@ -56,25 +57,47 @@ def genome_scaffold_info(info: DataFrame, stb: DataFrame, lengths: DataFrame, ke
     )
 
 
-def masked_stats(coverage: DataFrame, stb: DataFrame, lengths: DataFrame, keys: list[str], level: int = 100, edge: int = EDGE, shortest: int = SHORTEST) -> DataFrame:
-    """Median, deviation and standard error of a genome's depths, scaffold ends masked and short scaffolds left out.
+def placed(lengths: DataFrame, stb: DataFrame, edge: int = EDGE, shortest: int = SHORTEST) -> DataFrame:
+    """Where scaffolds lie in their genome, longest first, ends masked and short ones left out: ``scaffold, genome, offset, inner``."""
+    d = add_genome(lengths.where(F.col("length") >= shortest), stb).where(F.col("genome").isNotNull()).withColumn("inner", F.col("length") - 2 * edge)
+    before = Window.partitionBy("genome").orderBy(F.desc("length"), "scaffold").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select("scaffold", "genome", F.coalesce(F.sum("inner").over(before), F.lit(0)).alias("offset"), "inner")
 
-    Zero depths count, by arithmetic: only covered positions have rows.
+
+def inner_lengths(places: DataFrame) -> DataFrame:
+    return places.groupBy("genome").agg(F.sum("inner").alias("length")).where("length > 0")
+
+
+def genome_depths(coverage: DataFrame, places: DataFrame, keys: list[str], edge: int = EDGE) -> DataFrame:
+    """Depths at a genome's positions (``keys, genome, position, mm, coverage``); what has no row is zero."""
+    d = coverage.join(places, "scaffold").where((F.col("position") >= edge) & (F.col("position") < F.col("inner") + edge))
+    return d.select(*keys, "genome", (F.col("position") - edge + F.col("offset")).alias("position"), "mm", "coverage")
+
+
+def masked_stats(coverage: DataFrame, stb: DataFrame, lengths: DataFrame, keys: list[str], edge: int = EDGE, shortest: int = SHORTEST) -> DataFrame:
+    """Median, deviation and standard error of a genome's depths at each level of the table, scaffold ends masked and short scaffolds left out.
+
+    Zero depths count, by arithmetic: only covered positions have rows, and a
+    level is the one before and what changes.
     """
-    size = lengths.where(F.col("length") >= shortest)
-    inner = add_genome(size, stb).where(F.col("genome").isNotNull()).groupBy("genome").agg(F.sum(F.col("length") - 2 * edge).alias("length"))
-    inner = inner.where("length > 0")
-    d = coverage.where(F.col("mm") <= level).join(size, "scaffold").where((F.col("position") >= edge) & (F.col("position") < F.col("length") - edge))
-    d = d.groupBy(*keys, "scaffold", "position").agg(F.sum("coverage").alias("depth"))
-    d = add_genome(d, stb).where(F.col("genome").isNotNull())
+    places = placed(lengths, stb, edge, shortest)
     by = [*keys, "genome"]
-    stats = d.groupBy(*by).agg(F.sum("depth").alias("s1"), F.sum(F.col("depth") * F.col("depth")).alias("s2")).join(inner, "genome")
-    median = zero_aware_median(d.withColumn("scaffold", F.col("genome")), [*by, "scaffold"], "depth", inner.withColumnRenamed("genome", "scaffold"))
+    d = cumulate(genome_depths(coverage, places, keys, edge), [*by, "position"], ["coverage"]).withColumnRenamed("coverage", "depth")
+    d = with_last(d, [*by, "position"], ["depth"])
+    changes = cut(histogram_changes(d, by, ["depth"]))
+    levels = coverage.select(*keys, "mm").distinct()
+    every = inner_lengths(places).crossJoin(F.broadcast(levels))  # some dozens of levels for each sample
+    run = Window.partitionBy(*by).orderBy("mm").rowsBetween(Window.unboundedPreceding, 0)
+    names = ["depth_n", "depth_s", "depth_q"]
+    g = every.join(sums(changes, by, ["depth"]), [*by, "mm"], "left").fillna(0, names)
+    g = g.withColumns({c: F.sum(c).over(run) for c in names})
+    zeros = g.select(*by, "mm", F.lit("depth").alias("kind"), (F.col("length") - F.col("depth_n")).alias("n"))
+    middle = medians(changes, by, levels, keys, zeros, ["depth"])
     n = F.col("length")
-    mean = F.col("s1") / n
-    var = F.greatest(F.col("s2") / n - mean * mean, F.lit(0.0))
-    return stats.join(median.drop("scaffold"), by).select(
-        *by, F.col("median").cast("int").alias("coverage_median"), F.sqrt(var).alias("coverage_std"), F.when(n > 1, F.sqrt(var / (n - 1))).alias("coverage_SEM")
+    mean = F.col("depth_s") / n
+    var = F.greatest(F.col("depth_q") / n - mean * mean, F.lit(0.0))
+    return g.join(middle, [*by, "mm"]).select(
+        *by, "mm", F.col("depth_median").cast("int").alias("coverage_median"), F.sqrt(var).alias("coverage_std"), F.when(n > 1, F.sqrt(var / (n - 1))).alias("coverage_SEM")
     )
 
 
@@ -103,7 +126,7 @@ def genome_info(info: DataFrame, stats: DataFrame | None = None, reads: DataFram
     d = info
     if stats is not None:
         on = [*keys, "genome", *(["mm"] if "mm" in stats.columns else [])]
-        d = d.join(stats, on, "full" if "mm" in stats.columns else "left")
+        d = d.join(stats, on, "left")
     if reads is not None:
         d = d.join(reads, "genome", "left")
     if linkage is not None:

@@ -10,30 +10,47 @@ WIDTH, SLIDE, FOLD, TRIM, EPS = 5000, 100, 8.0, 0.05, 1e-50
 LEAST_KEPT, LEAST_COVERAGE, LEAST_R2, MOST_FRAGMENTS = 0.98, 5.0, 0.9, 175.0
 
 
-def sliding_mean(dense: DataFrame, group: list[str], value: str = "coverage", width: int = WIDTH, slide: int = SLIDE) -> DataFrame:
-    """Means of all whole windows of ``width`` positions that start at multiples of ``slide``.
+def sliding_mean(coverage: DataFrame, lengths: DataFrame, group: list[str], width: int = WIDTH, slide: int = SLIDE) -> DataFrame:
+    """Mean coverage of all whole windows of ``width`` positions that start at multiples of ``slide``.
 
-    Sums of blocks of ``slide`` positions come first, so that the window
-    function only sees one row for each block. ``position`` runs from 0 without gaps.
+    Rows of ``coverage`` are positions; what has none is zero.  ``lengths`` has
+    ``group`` and ``length``.  Sums of blocks of ``slide`` positions come first, so
+    that the window function only sees one row for each block.
     """
+    last = F.expr(f"(length - 1) div {slide}")
+    grid = lengths.where("length > 0").select(*group, "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    grid = grid.select(*group, "block", F.least(F.lit(slide), F.col("length") - F.col("block") * slide).alias("n"))
+    sums = coverage.groupBy(*group, F.expr(f"position div {slide}").alias("block")).agg(F.sum("coverage").alias("s"))
+    return _windows(grid.join(sums, [*group, "block"], "left").fillna(0, ["s"]), group, width, slide).withColumnRenamed("mean", "y")
+
+
+def _windows(blocks: DataFrame, group: list[str], width: int, slide: int) -> DataFrame:
     if width % slide:
         raise ValueError("width must be a multiple of slide")
-    k = width // slide
-    block = dense.groupBy(*group, F.floor(F.col("position") / slide).cast("long").alias("block")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy(*group).orderBy("block").rowsBetween(0, k - 1)
-    d = block.withColumns({"total": F.sum("s").over(w), "have": F.sum("n").over(w)}).where(F.col("have") == width)
-    return d.select(*group, (F.col("block") * slide).alias("start"), (F.col("total") / width).alias("y"))
+    w = Window.partitionBy(*group).orderBy("block").rowsBetween(0, width // slide - 1)
+    d = blocks.withColumns({"total": F.sum("s").over(w), "have": F.sum("n").over(w)}).where(F.col("have") == width)
+    return d.select(*group, (F.col("block") * slide).alias("start"), (F.col("total") / width).alias("mean"))
 
 
-def sliding_gc(sequences: DataFrame, group: list[str], width: int = WIDTH, slide: int = SLIDE) -> DataFrame:
-    """GC content of the same windows of a sequence."""
-    d = sequences.select(*group, F.posexplode(F.split("sequence", "")).alias("position", "b")).where("b <> ''")
-    return sliding_mean(d.withColumn("gc", F.col("b").isin("G", "C").cast("int")), group, "gc", width, slide).withColumnRenamed("y", "gc")
+def sliding_gc(sequences: DataFrame, places: DataFrame, group: list[str], width: int = WIDTH, slide: int = SLIDE, edge: int = 0) -> DataFrame:
+    """GC content of the same windows.
+
+    ``places`` tells where the inner part of a scaffold (``edge`` bases left out at
+    both ends) lies in its group: ``scaffold``, ``group``, ``offset`` and ``inner``.
+    """
+    d = sequences.select("scaffold", F.col("sequence").cast("binary").alias("raw")).join(places.where("inner > 0"), "scaffold")
+    d = d.withColumn("block", F.explode(F.sequence(F.expr(f"offset div {slide}"), F.expr(f"(offset + inner - 1) div {slide}"))))
+    first = F.greatest(F.col("block") * slide, F.col("offset"))
+    n = F.least((F.col("block") + 1) * slide, F.col("offset") + F.col("inner")) - first
+    # bytes are cut out without looking at those before
+    d = d.select(*group, "block", n.alias("n"), F.substring("raw", (first - F.col("offset") + edge + 1).cast("int"), n.cast("int")).cast("string").alias("s"))
+    d = d.groupBy(*group, "block").agg(F.sum(F.length("s") - F.length(F.translate("s", "GC", ""))).alias("s"), F.sum("n").alias("n"))
+    return _windows(d, group, width, slide).withColumnRenamed("mean", "gc")
 
 
 def kept_windows(windows: DataFrame, group: list[str], fold: float = FOLD) -> DataFrame:
     """Windows with coverage within ``fold`` of the median, as log2; ``kept_share`` is the share that stays."""
-    med = windows.groupBy(*group).agg(F.median("y").alias("med"), F.count("*").alias("all_windows"), F.avg("y").alias("avg_cov"))
+    med = windows.groupBy(*group).agg(F.median("y").alias("med"), F.count("*").alias("all_windows"))
     d = windows.join(med, group).where((F.col("y") > 0) & (F.col("med") > 0))
     d = d.where(F.greatest("y", "med") / F.least("y", "med") <= fold)
     return d.withColumn("log2", F.log2(F.greatest(F.col("y"), F.lit(EPS)))).withColumn("kept_share", F.count("*").over(Window.partitionBy(*group)) / F.col("all_windows"))
@@ -50,7 +67,7 @@ def fit(kept: DataFrame, lengths: DataFrame, group: list[str], value: str = "log
     lo = F.floor(F.col("n") * TRIM)
     d = d.where((F.col("i") >= lo) & (F.col("i") < F.col("n") - lo))
     return d.groupBy(*group).agg(
-        F.regr_slope(value, "x").alias("slope"), F.regr_r2(value, "x").alias("r2"), F.first("length").alias("length"), F.first("kept_share").alias("kept_windows"), F.first("avg_cov").alias("avg_cov")
+        F.regr_slope(value, "x").alias("slope"), F.regr_r2(value, "x").alias("r2"), F.first("length").alias("length"), F.first("kept_share").alias("kept_windows")
     ).withColumn("raw_iRep", F.pow(F.lit(2.0), F.col("slope") * F.col("length")))
 
 
@@ -66,15 +83,21 @@ def gc_corrected(kept: DataFrame, gc: DataFrame, group: list[str], worst: float
     return out.withColumn("corrected", F.col("log2") + F.col("mean") - (F.col("m") * F.col("gc") + F.col("b"))).drop("m", "b", "mean", "err", "r")
 
 
-def irep(dense: DataFrame, group: list[str], scaffolds: DataFrame | None = None, width: int = WIDTH, slide: int = SLIDE) -> DataFrame:
+def irep(coverage: DataFrame, lengths: DataFrame, group: list[str], scaffolds: DataFrame | None = None, gc: DataFrame | None = None, width: int = WIDTH, slide: int = SLIDE) -> DataFrame:
     """iRep of each group, null where windows, coverage, fit or assembly aren't good enough.
 
-    The value is that of the fit without GC correction. ``scaffolds`` has ``group`` and ``scaffolds``.
+    Rows of ``coverage`` are positions of one level; what has none is zero.  The
+    coverage that is judged is the mean over all positions.  The value is
+    that of the fit without GC correction, whether ``gc`` windows are there
+    (``iRep_GC_corrected``) or not.  ``scaffolds`` has ``group`` and ``scaffolds``.
     """
-    lengths = dense.groupBy(*group).agg(F.count("*").alias("length"))
-    d = fit(kept_windows(sliding_mean(dense, group, width=width, slide=slide), group), lengths, group)
-    bad = (F.col("kept_windows") < LEAST_KEPT) | (F.col("avg_cov") < LEAST_COVERAGE) | (F.col("r2") < LEAST_R2) | F.col("r2").isNull()
+    kept = kept_windows(sliding_mean(coverage, lengths, group, width, slide), group)
+    d = fit(kept, lengths, group).join(coverage.groupBy(*group).agg(F.sum("coverage").alias("bases")), group)
+    bad = (F.col("kept_windows") < LEAST_KEPT) | (F.col("bases") / F.col("length") < LEAST_COVERAGE) | (F.col("r2") < LEAST_R2) | F.col("r2").isNull()
     if scaffolds is not None:
         d = d.join(scaffolds, group, "left")
         bad = bad | (F.col("scaffolds") / (F.col("length") / F.lit(1e6)) > MOST_FRAGMENTS)
-    return d.withColumn("iRep", F.when(~bad, F.col("raw_iRep")))
+    d = d.withColumn("iRep", F.when(~bad, F.col("raw_iRep"))).drop("bases")
+    if gc is None:
+        return d.withColumn("iRep_GC_corrected", F.lit(False))
+    return d.join(gc.select(*group, F.lit(True).alias("iRep_GC_corrected")).distinct(), group, "left").fillna(False, ["iRep_GC_corrected"])

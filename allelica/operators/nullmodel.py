@@ -53,10 +53,10 @@ def from_table(rows: list[tuple[int, list[float]]], fdr: float = FDR) -> tuple[t
 def min_bases(depth: Column, model: tuple[tuple[int, int], ...] | None = None) -> Column:
     """Reads needed at ``depth``, as nested conditions: nothing to join. Deeper sites than the model's keep its last value."""
     model = model or steps()
-    out = F.lit(model[0][1])
-    for n, k in model[1:]:
-        out = F.when(depth >= n, F.lit(k)).otherwise(out)
-    return out
+    out = F.when(depth >= model[-1][0], model[-1][1]) if len(model) > 1 else F.lit(model[0][1])
+    for n, k in reversed(model[1:-1]):
+        out = out.when(depth >= n, k)
+    return out.otherwise(model[0][1]) if len(model) > 1 else out
 
 
 def table(spark: SparkSession, deepest: int = DEEPEST, fdr: float = FDR) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from allelica.functions.bases import BASES, expected_breadth, ratio, square_sum, total
 from allelica.functions.draws import uniform
-from allelica.plans.mm import MAX_MM, carry_forward, collapse, cumulate
+from allelica.plans.lineage import cut
+from allelica.plans.mm import MAX_MM, change, collapse, cumulate, histogram_changes, medians, sums, with_last
 
 WINDOW_LENGTH, MIN_COV, RAREFIED = 10_000, 5, 50
 
@@ -60,11 +61,17 @@ def coverage(sites: DataFrame, keys: list[str]) -> DataFrame:
 def dense_coverage(sites: DataFrame, keys: list[str], lengths: DataFrame, level: int = MAX_MM) -> DataFrame:
     """Depth of pairs with at most ``level`` mismatches at every position of every scaffold that has reads, zeros included."""
     c = sites.where(F.col("mm") <= level).groupBy(*keys, "position").agg(F.sum(total()).alias("coverage"))
-    every = sites.select(*keys).distinct().join(lengths, "scaffold")
-    every = every.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("position"))
+    every = positions(sites.select(*keys).distinct().join(lengths, "scaffold"), keys)
     return every.join(c, [*keys, "position"], "left").fillna(0, ["coverage"])
 
 
+def positions(df: DataFrame, keys: list[str], block: int = 1 << 16) -> DataFrame:
+    """Every position of each row's ``length``, made block by block, so that no array is as long as a scaffold."""
+    blocks = df.select(*keys, "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block}"))).alias("_block"))
+    first = F.col("_block") * block
+    return blocks.select(*keys, F.explode(F.sequence(first, F.least(first + block, F.col("length")) - 1)).alias("position"))
+
+
 def clonality(cum: DataFrame, keys: list[str], min_cov: int = MIN_COV, rarefied: int = RAREFIED) -> DataFrame:
     """Clonality of cumulative counts at sites of at least ``min_cov`` reads.
 
@@ -86,76 +93,55 @@ def scaffold_info(
 ) -> DataFrame:
     """One row for each (keys, mm) of each level that has coverage.
 
-    Zero depths count in mean, median and deviation by arithmetic, without
-    rows for them: sums of depth and squared depth, and a histogram of depths in
-    which the median is looked up. The median is truncated to an integer; the
-    deviation is that of the population, and the standard error that of the sample.
-    Without counted sites ANIs are 0 and diversities null.
+    A level is the one before and what changes: sums over positions and histograms
+    of values are made of changes, so rows are sites and not sites times levels.  Zero
+    depths count in mean, median and deviation by arithmetic, without rows for
+    them. The median depth is truncated to an integer; the deviation is that of the
+    population, and the standard error that of the sample.  Without counted sites
+    ANIs are 0 and diversities null.
     """
     cum = cumulative(sites, keys).withColumn("depth", total()).where("depth > 0")
-    s = square_sum()
-    cum = cum.select(*keys, "position", "mm", "depth", F.when(F.col("depth") >= min_cov, s).alias("clon"))
+    cum = cum.select(*keys, "position", "mm", "depth", F.when(F.col("depth") >= min_cov, square_sum()).alias("clon"))
     cum = cum.withColumn("rare", F.when(F.col("depth") >= rarefied, F.col("clon") + (F.lit(1.0) - F.col("clon")) / F.lit(float(rarefied))))
-    levels = cum.select(*keys, "mm").distinct()
-    at = carry_forward(cum, [*keys, "position"], levels, keys)
+    cum = with_last(cum, [*keys, "position"], ["depth", "clon", "rare"])
     by = [*keys, "mm"]
-    stats = at.groupBy(*by).agg(
-        F.count("*").alias("covered"),
-        F.sum("depth").alias("s1"),
-        F.sum(F.col("depth") * F.col("depth")).alias("s2"),
-        F.count("clon").alias("counted"),
-        F.count("rare").alias("counted_rare"),
-        F.avg("clon").alias("clon_mean"),
-        F.median("clon").alias("clon_median"),
-        F.avg("rare").alias("rare_mean"),
-        F.median("rare").alias("rare_median"),
-    )
-    d = stats.join(lengths, "scaffold").join(zero_aware_median(at, by, "depth", lengths), by)
-    con, pop, sns, snv, div = (F.coalesce(c, F.lit(0)) for c in ("consensus_divergent_sites", "population_divergent_sites", "SNS_count", "SNV_count", "divergent_site_count"))
-    d = d.join(reference_differences(snvs, levels, keys), by, "left")
+    # rows are different values, far fewer than sites
+    changes = cut(histogram_changes(cum, keys, KINDS))
+    d = sums(changes, keys, KINDS).join(reference_changes(snvs, keys), by, "left")
+    names = [*[f"{k}_{x}" for k in KINDS for x in "nsq"], *REFERENCE]
+    run = Window.partitionBy(*keys).orderBy("mm").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.fillna(0, names).withColumns({c: F.sum(c).over(run) for c in names}).join(lengths, "scaffold")
+    zeros = d.select(*by, F.lit("depth").alias("kind"), (F.col("length") - F.col("depth_n")).alias("n"))
+    d = d.join(medians(changes, keys, changes.select(*by).distinct(), keys, zeros, KINDS), by)
     n = F.col("length")
-    mean = F.col("s1") / n
-    var = F.greatest(F.col("s2") / n - mean * mean, F.lit(0.0))
-    ani = lambda x: F.coalesce(ratio(F.col("counted") - x, F.col("counted")), F.lit(0.0))
+    mean = F.col("depth_s") / n
+    var = F.greatest(F.col("depth_q") / n - mean * mean, F.lit(0.0))
+    ani = lambda x: F.coalesce(ratio(F.col("clon_n") - F.col(x), F.col("clon_n")), F.lit(0.0))
     return d.select(
         *keys, "mm", "length",
-        (F.col("covered") / n).alias("breadth"), mean.alias("coverage"), F.col("median").cast("int").alias("coverage_median"),
+        (F.col("depth_n") / n).alias("breadth"), mean.alias("coverage"), F.col("depth_median").cast("int").alias("coverage_median"),
         F.sqrt(var).alias("coverage_std"), F.when(n > 1, F.sqrt(var / (n - 1))).alias("coverage_SEM"),
-        (F.lit(1.0) - F.col("clon_mean")).alias("nucl_diversity"), (F.lit(1.0) - F.col("clon_median")).alias("nucl_diversity_median"),
-        (F.lit(1.0) - F.col("rare_mean")).alias("nucl_diversity_rarefied"), (F.lit(1.0) - F.col("rare_median")).alias("nucl_diversity_rarefied_median"),
-        (F.col("counted") / n).alias("breadth_minCov"), (F.col("counted_rare") / n).alias("breadth_rarefied"),
-        expected_breadth(mean).alias("breadth_expected"),
-        sns.alias("SNS_count"), snv.alias("SNV_count"), div.alias("divergent_site_count"),
-        con.alias("consensus_divergent_sites"), pop.alias("population_divergent_sites"),
-        ani(con).alias("conANI_reference"), ani(pop).alias("popANI_reference"),
+        (F.lit(1.0) - ratio(F.col("clon_s"), F.col("clon_n"))).alias("nucl_diversity"), (F.lit(1.0) - F.col("clon_median")).alias("nucl_diversity_median"),
+        (F.lit(1.0) - ratio(F.col("rare_s"), F.col("rare_n"))).alias("nucl_diversity_rarefied"), (F.lit(1.0) - F.col("rare_median")).alias("nucl_diversity_rarefied_median"),
+        (F.col("clon_n") / n).alias("breadth_minCov"), (F.col("rare_n") / n).alias("breadth_rarefied"),
+        expected_breadth(mean).alias("breadth_expected"), *REFERENCE,
+        ani("consensus_divergent_sites").alias("conANI_reference"), ani("population_divergent_sites").alias("popANI_reference"),
     )
 
 
-def zero_aware_median(at: DataFrame, by: list[str], value: str, lengths: DataFrame) -> DataFrame:
-    """The median over ``length`` positions of which only the non-zero ones have rows."""
-    hist = at.groupBy(*by, value).agg(F.count("*").alias("n"))
-    have = hist.groupBy(*by).agg(F.sum("n").alias("have")).join(lengths, "scaffold")
-    zero = have.where("length > have").select(*by, F.lit(0).cast("long").alias(value), (F.col("length") - F.col("have")).alias("n"))
-    hist = hist.withColumn(value, F.col(value).cast("long")).unionByName(zero)
-    # a group has one row for each different depth
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    d = hist.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    low, high = F.expr("(all - 1) div 2"), F.expr("all div 2")
-    inside = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
-    return d.groupBy(*by).agg(((F.max(F.when(inside(low), F.col(value))) + F.max(F.when(inside(high), F.col(value)))) / 2).alias("median"))
-
-
-def reference_differences(snvs: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
-    """Numbers of sites that differ from the reference at each level, each site as at the last level that called it."""
-    at = carry_forward(snvs.select(*keys, "position", "mm", "allele_count", "class"), [*keys, "position"], levels, keys)
-    c = F.col("class")
-    return at.groupBy(*keys, "mm").agg(
-        F.count_if(F.col("allele_count") == 1).alias("SNS_count"),
-        F.count_if(F.col("allele_count") > 1).alias("SNV_count"),
-        F.count("*").alias("divergent_site_count"),
-        F.count_if(c.isin("SNS", "con_SNV", "pop_SNV")).alias("consensus_divergent_sites"),
-        F.count_if(c.isin("SNS", "pop_SNV")).alias("population_divergent_sites"),
-    )
+#: Values of a site that are counted by histogram.
+KINDS = ["depth", "clon", "rare"]
+#: Numbers of sites that differ from the reference.
+REFERENCE = ["SNS_count", "SNV_count", "divergent_site_count", "consensus_divergent_sites", "population_divergent_sites"]
+
+
+def reference_changes(snvs: DataFrame, keys: list[str]) -> DataFrame:
+    """By how much the numbers of ``REFERENCE`` change at each level, each site being as at the last level that called it."""
+    d = with_last(snvs.select(*keys, "position", "mm", "allele_count", "class"), [*keys, "position"], ["allele_count", "class"])
+    n, was, c, wc = F.col("allele_count"), F.col("was_allele_count"), F.col("class"), F.col("was_class")
+    con, pop = ("SNS", "con_SNV", "pop_SNV"), ("SNS", "pop_SNV")
+    parts = [(n == 1, was == 1), (n > 1, was > 1), (n.isNotNull(), was.isNotNull()), (c.isin(*con), wc.isin(*con)), (c.isin(*pop), wc.isin(*pop))]
+    return d.groupBy(*keys, "mm").agg(*[F.sum(change(x, y)).alias(name) for name, (x, y) in zip(REFERENCE, parts, strict=True)])
 
 
 def draws_between(column: str, low: Column, high: Column) -> Column:

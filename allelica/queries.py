@@ -734,24 +734,26 @@ def _w3(spark, sf):
     return genome_info(spark, sf)
 
 
-@query(
-    "w6_masked_coverage",
-    """SELECT sample, genome, CAST(floor(median(d)) AS INTEGER) AS coverage_median, stddev_pop(d) AS coverage_std, stddev_samp(d) / sqrt(count(*)) AS coverage_SEM FROM
-    (SELECT s.sample, genome, coalesce(depth, 0) AS d FROM (SELECT sample, scaffold, unnest(range(10, length - 10)) AS position FROM lens, (SELECT DISTINCT sample FROM cov) WHERE length >= 20) s JOIN stb USING (scaffold)
-    LEFT JOIN (SELECT sample, scaffold, position, sum(coverage) AS depth FROM cov GROUP BY 1, 2, 3) c ON c.sample = s.sample AND c.scaffold = s.scaffold AND c.position = s.position) GROUP BY 1, 2""",
-    "cov lens stb",
-    "coverage_std coverage_SEM",
-)
-def _w6(spark, sf):
+FRAGMENTS["mask"] = """mask AS (SELECT sample, genome, mm, CAST(floor(median(d)) AS INTEGER) AS coverage_median, stddev_pop(d) AS coverage_std, stddev_samp(d) / sqrt(count(*)) AS coverage_SEM FROM
+    (SELECT s.sample, genome, s.mm, sum(coalesce(coverage, 0)) AS d FROM (SELECT sample, mm, scaffold, unnest(range(10, length - 10)) AS position FROM lens, (SELECT DISTINCT sample, mm FROM cov) WHERE length >= 20) s JOIN stb USING (scaffold)
+    LEFT JOIN cov c ON c.sample = s.sample AND c.scaffold = s.scaffold AND c.position = s.position AND c.mm <= s.mm GROUP BY s.sample, genome, s.mm, s.scaffold, s.position) GROUP BY 1, 2, 3)"""
+NEEDS["mask"] = ["cov", "lens", "stb"]
+
+
+def masked(spark, sf):
     return genomes.masked_stats(cov(spark, sf), ad.stb(spark, sf), ad.lengths(spark, sf), ["sample"], edge=10, shortest=20)
 
 
-@query(
-    "w7_read_rollup",
-    "SELECT genome, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS reads_{c}" for c in _NUM.split()) + ", " + ", ".join(f"avg({c}) AS reads_{c}" for c in _MEANS.split()) + " FROM rep JOIN stb USING (scaffold) GROUP BY 1",
-    "rep stb",
-    " ".join(f"reads_{c}" for c in _MEANS.split()),
-)
+@query("w6_masked_coverage", "SELECT * FROM mask", "mask", "coverage_std coverage_SEM")
+def _w6(spark, sf):
+    return masked(spark, sf)
+
+
+FRAGMENTS["rroll"] = "rroll AS (SELECT genome, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS reads_{c}" for c in _NUM.split()) + ", " + ", ".join(f"avg({c}) AS reads_{c}" for c in _MEANS.split()) + " FROM rep JOIN stb USING (scaffold) GROUP BY 1)"
+NEEDS["rroll"] = ["rep", "stb"]
+
+
+@query("w7_read_rollup", "SELECT * FROM rroll", "rroll", " ".join(f"reads_{c}" for c in _MEANS.split()))
 def _w7(spark, sf):
     return genomes.read_rollup(report(spark, sf), ad.stb(spark, sf))
 
@@ -767,11 +769,17 @@ def _w8(spark, sf):
     return genomes.linkage_rollup(ld(spark, sf), ad.stb(spark, sf), [])
 
 
-@query("w9_genome_info", "SELECT ginfo.*, r2_mean, linked_SNV_count FROM ginfo LEFT JOIN lroll USING (genome, mm) WHERE sample = 'sample_0'", "ginfo lroll", _GI + " r2_mean")
+@query(
+    "w9_genome_info",
+    "SELECT * FROM ginfo LEFT JOIN mask USING (sample, genome, mm) LEFT JOIN rroll USING (genome) LEFT JOIN lroll USING (genome, mm)",
+    "ginfo mask rroll lroll",
+    _GI + " coverage_std coverage_SEM r2_mean d_prime_mean SNV_distance_mean " + " ".join(f"reads_{c}" for c in _MEANS.split()),
+)
 def _w9(spark, sf):
-    g = genome_info(spark, sf).where("sample = 'sample_0'")
-    d = genomes.genome_info(g, linkage=genomes.linkage_rollup(ld(spark, sf), ad.stb(spark, sf), []))
-    return d.drop("d_prime_mean", "SNV_distance_mean")
+    info = genome_info(spark, sf)
+    # links have no sample: both samples get the same
+    linked = genomes.linkage_rollup(ld(spark, sf), ad.stb(spark, sf), []).crossJoin(F.broadcast(cov(spark, sf).select("sample").distinct()))
+    return genomes.genome_info(info, masked(spark, sf), genomes.read_rollup(report(spark, sf), ad.stb(spark, sf)), linked, ["sample"])
 
 
 # iRep
@@ -779,10 +787,10 @@ def _w9(spark, sf):
 
 FRAGMENTS["dense"] = "dense AS (SELECT scaffold, position, coalesce(c, 0) AS coverage FROM (SELECT scaffold, unnest(range(length)) AS position FROM (SELECT DISTINCT scaffold FROM cov) JOIN lens USING (scaffold)) LEFT JOIN (SELECT scaffold, position, sum(coverage) AS c FROM cov GROUP BY 1, 2) USING (scaffold, position))"
 FRAGMENTS["win"] = "win AS (SELECT scaffold, s AS start, (SELECT sum(coverage) / 50.0 FROM dense d WHERE d.scaffold = w.scaffold AND d.position >= s AND d.position < s + 50) AS y FROM (SELECT scaffold, unnest(range(0, length - 49, 10)) AS s FROM lens) w)"
-FRAGMENTS["irp"] = """kw0 AS (SELECT *, median(y) OVER (PARTITION BY scaffold) AS med, avg(y) OVER (PARTITION BY scaffold) AS avg_cov, count(*) OVER (PARTITION BY scaffold) AS n0 FROM win),
+FRAGMENTS["irp"] = """kw0 AS (SELECT *, median(y) OVER (PARTITION BY scaffold) AS med, count(*) OVER (PARTITION BY scaffold) AS n0 FROM win),
     kw AS (SELECT *, log2(y) AS l, count(*) OVER (PARTITION BY scaffold) / n0 AS kept_windows FROM kw0 WHERE y > 0 AND greatest(y, med) / least(y, med) <= 8),
     srt AS (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY l, start) - 1 AS i, count(*) OVER (PARTITION BY scaffold) AS n FROM kw JOIN lens USING (scaffold)),
-    irp AS (SELECT scaffold, regr_slope(l, (i * length) // n + 1) AS slope, regr_r2(l, (i * length) // n + 1) AS r2, any_value(kept_windows) AS kept_windows, any_value(avg_cov) AS avg_cov, any_value(length) AS length
+    irp AS (SELECT scaffold, regr_slope(l, (i * length) // n + 1) AS slope, regr_r2(l, (i * length) // n + 1) AS r2, any_value(kept_windows) AS kept_windows, (SELECT avg(coverage) FROM dense d WHERE d.scaffold = srt.scaffold) AS avg_cov, any_value(length) AS length
     FROM srt WHERE i >= floor(n * 0.05) AND i < n - floor(n * 0.05) GROUP BY 1)"""
 FRAGMENTS["good"] = """gcw AS (SELECT scaffold, s AS start, length(regexp_replace(substr(sequence, s + 1, 50), '[AT]', '', 'g')) / 50.0 AS gc FROM (SELECT scaffold, sequence, unnest(range(0, length - 49, 10)) AS s FROM seqs)),
     gck AS (SELECT scaffold, start, l, gc FROM kw JOIN gcw USING (scaffold, start)),
@@ -791,14 +799,23 @@ FRAGMENTS["good"] = """gcw AS (SELECT scaffold, s AS start, length(regexp_replac
 NEEDS |= {"dense": ["cov", "lens"], "win": ["dense"], "irp": ["win"], "good": ["irp", "seqs"]}
 
 
-def dense(spark, sf):
-    s = pileup.site_counts(obs(spark, sf), ["scaffold"])
-    return pileup.dense_coverage(s, ["scaffold"], ad.lengths(spark, sf))
+def depths(spark, sf):
+    """Each scaffold's depth over both samples, where there is any."""
+    return cov(spark, sf).groupBy("scaffold", "position").agg(F.sum("coverage").alias("coverage"))
+
+
+def scaffold_windows(spark, sf):
+    return irep.sliding_mean(depths(spark, sf), ad.lengths(spark, sf), ["scaffold"], width=50, slide=10)
+
+
+def gc_windows(spark, sf):
+    places = ad.lengths(spark, sf).select("scaffold", F.lit(0).cast("long").alias("offset"), F.col("length").alias("inner"))
+    return irep.sliding_gc(ad.sequences(spark, sf), places, ["scaffold"], 50, 10)
 
 
 @query("i1_sliding_coverage", "SELECT * FROM win", "win", "y")
 def _i1(spark, sf):
-    return irep.sliding_mean(dense(spark, sf), ["scaffold"], width=50, slide=10)
+    return scaffold_windows(spark, sf)
 
 
 @query(
@@ -808,7 +825,7 @@ def _i1(spark, sf):
     "gc",
 )
 def _i2(spark, sf):
-    return irep.sliding_gc(ad.sequences(spark, sf), ["scaffold"], 50, 10)
+    return gc_windows(spark, sf)
 
 
 @query(
@@ -818,7 +835,7 @@ def _i2(spark, sf):
     "r2 kept_windows raw_iRep iRep",
 )
 def _i5(spark, sf):
-    return irep.irep(dense(spark, sf), ["scaffold"], width=50, slide=10).select("scaffold", "r2", "kept_windows", "raw_iRep", "iRep")
+    return irep.irep(depths(spark, sf), ad.lengths(spark, sf), ["scaffold"], width=50, slide=10).select("scaffold", "r2", "kept_windows", "raw_iRep", "iRep")
 
 
 # comparison
@@ -1205,8 +1222,7 @@ def _l1(spark, sf):
 
 @query("i3_kept_windows", "SELECT scaffold, start, y, l AS log2, kept_windows AS kept_share FROM kw", "irp", "y log2 kept_share")
 def _i3(spark, sf):
-    w = irep.sliding_mean(dense(spark, sf), ["scaffold"], width=50, slide=10)
-    return irep.kept_windows(w, ["scaffold"]).select("scaffold", "start", "y", "log2", "kept_share")
+    return irep.kept_windows(scaffold_windows(spark, sf), ["scaffold"]).select("scaffold", "start", "y", "log2", "kept_share")
 
 
 @query(
@@ -1216,8 +1232,8 @@ def _i3(spark, sf):
     "corrected",
 )
 def _i6(spark, sf):
-    w = irep.kept_windows(irep.sliding_mean(dense(spark, sf), ["scaffold"], width=50, slide=10), ["scaffold"])
-    return irep.gc_corrected(w, irep.sliding_gc(ad.sequences(spark, sf), ["scaffold"], 50, 10), ["scaffold"]).select("scaffold", "start", "corrected")
+    w = irep.kept_windows(scaffold_windows(spark, sf), ["scaffold"])
+    return irep.gc_corrected(w, gc_windows(spark, sf), ["scaffold"]).select("scaffold", "start", "corrected")
 
 
 @query("c15_pairwise_snp_locations", "SELECT scaffold, position, name1, name2, con_base_1, con_base_2, consensus_SNP, population_SNP FROM dif QUALIFY row_number() OVER (PARTITION BY scaffold, position, name1, name2 ORDER BY mm DESC) = 1", "dif")

@@ -118,7 +118,8 @@ def test_mutations(spark):
 
 def test_irep_known_answer(spark):
     d = spark.range(150_000).select(F.lit("g").alias("genome"), F.col("id").alias("position"), (F.expr("id div 50000") + 5).alias("coverage"))
-    r = irep.irep(d, ["genome"]).first()
+    d = d.unionByName(d.where("position < 100").withColumn("coverage", F.lit(0)))
+    r = irep.irep(d, spark.createDataFrame([("g", 150_000)], "genome string, length long"), ["genome"]).first()
     assert abs(r.raw_iRep - 1.62) <= 0.011 and r.r2 == pytest.approx(0.9004, abs=1e-3) and r.iRep == r.raw_iRep
 
 
