@@ -16,7 +16,8 @@ from allelica.operators.logs import parse
 
 def fasta(spark: SparkSession, path: str, full_header: bool = False, upper: bool = True) -> DataFrame:
     """``scaffold, sequence, length, file`` of FASTA files; gzip is read by name. The name ends at the first blank unless ``full_header``."""
-    d = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    # records end where a line starts with ">"; only the first one still has its own
+    d = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"), F.col("_metadata.file_name").alias("file"))
     d = d.where(F.trim("value") != "")
     header = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", ""))
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise(F.lit(""))

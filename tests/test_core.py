@@ -1,4 +1,5 @@
 import math
+import random
 import struct
 import zlib
 
@@ -176,7 +177,7 @@ def test_logs(spark, tmp_path):
 
 
 def test_fasta_genes_and_maps(spark, tmp_path):
-    (tmp_path / "x.fa").write_text(">s1 first\nacgt\nAC\n>s2\n\n>s3\nNNN")
+    (tmp_path / "x.fa").write_text(">s1 3->5 exo > first\nacgt\nAC\n>s2\n\n>s3\nNNN")
     got = {r.scaffold: (r.sequence, r.length) for r in text.fasta(spark, str(tmp_path / "x.fa")).collect()}
     assert got == {"s1": ("ACGTAC", 6), "s2": ("", 0), "s3": ("NNN", 3)}
     (tmp_path / "g.fna").write_text(">s1_1 # 2 # 4 # -1 # ID=1;partial=00;x\nCGT\n>s1_2 # 1 # 3 # 1 # ID=2;partial=01\nACG\n")
@@ -200,8 +201,7 @@ def _bam() -> bytes:
         packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
         rec = struct.pack("<iiBBHHHiiii", 0, pos, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0) + name + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in cigar) + packed + bytes([qual] * len(seq)) + b"XAZhi\0NMC\2"
         body += struct.pack("<i", len(rec)) + rec
-    gz = zlib.compressobj(wbits=31)
-    return gz.compress(body) + gz.flush()
+    return alignments.bgzf(body)
 
 
 def test_bam_and_pileup(spark, tmp_path):
@@ -213,6 +213,41 @@ def test_bam_and_pileup(spark, tmp_path):
     assert p == {10: "A", 11: "C", 12: "G", 13: "T", 14: "T", 15: "A", 16: "C"}  # the second mate only adds position 14
 
 
+def test_overlaps_and_orphans(spark):
+    rows = [("r1", 99, "AAAA", "IIII", 1), ("r1", 147, "ACCA", "++I5", 2), ("r2", 97, "GGGG", "IIII", 3), ("r3", 0, "TTTT", "I+II", 4), ("r4", 99, "CCCC", "5555", 5), ("r4", 147, "CCCC", "++++", 6)]
+    d = spark.createDataFrame([("s", n, 0, "4M", f, q, qual, k) for n, f, q, qual, k in rows], "scaffold string, read_name string, ref_start long, cigar string, flag int, sequence string, quality string, file_order long")
+    got = {(r.pair, r.position): r.base for r in alignments.pileup(d).collect()}
+    # I is quality 40, + 10, 5 20: sums of equal bases, 0.8 * 40 of the better one; r2 isn't properly paired
+    assert got == {("r1", 0): "A", ("r1", 1): "A", ("r1", 2): "A", ("r1", 3): "A", ("r3", 0): "T", ("r3", 2): "T", ("r3", 3): "T", **{("r4", k): "C" for k in range(4)}}
+
+
+def test_bam_in_many_shares(spark, tmp_path):
+    """Shares of a file, with records that cross members and shares."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(3000):
+        n = rng.randrange(20, 150)
+        rows.append((f"s{k % 3}", f"read/{k}", rng.randrange(5), 60, n, k, k + n - 1, 99, f"{n}M", "".join(rng.choice("ACGTN") for _ in range(n)), "".join(chr(33 + rng.randrange(41)) for _ in range(n)), k))
+    df = spark.createDataFrame(rows, alignments.READS)
+    lens = spark.createDataFrame([("s0", 9000), ("s1", 9000), ("s2", 9000)], "scaffold string, length long")
+    alignments.write_bam(df, lens, str(tmp_path / "x.bam"))
+    # the same bytes in members that know nothing of records
+    whole = b"".join(alignments.inflate((tmp_path / "x.bam").read_bytes().split(alignments.MAGIC)))
+    (tmp_path / "y.bam").write_bytes(b"".join(alignments.member(whole[k : k + 5000]) for k in range(0, len(whole), 5000)) + alignments.LAST)
+    want = sorted(rows, key=lambda r: (r[0], r[5], r[11]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for name in ("x.bam", "y.bam"):
+            for size in (old, "30000"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "30000" else "4194304")
+                got = alignments.bam(spark, str(tmp_path / name)).orderBy("file_order").collect()
+                assert [tuple(r)[:11] for r in got] == [r[:11] for r in want], (name, size)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+
+
 def test_sam(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tVN:1\nr1\t0\ts1\t11\t60\t4M1D2M\t*\t0\t0\tACGTAC\tIIIIII\tNM:i:2\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n")
     r = text.sam(spark, str(tmp_path / "x.sam")).collect()
