@@ -114,7 +114,9 @@ def snp_differences(sites: DataFrame, table: DataFrame, min_freq: float = MIN_FR
     d = shared.join(side(1), ["scaffold", "name1", "position"], "left").join(side(2), ["scaffold", "name2", "position"], "left")
     d = d.where(F.col("con_base_1").isNotNull() | F.col("con_base_2").isNotNull())
     d = d.withColumns({"consensus_SNP": consensus_snp(), "population_SNP": population_snp(min_freq)}).where("consensus_SNP or population_SNP")
-    return d.select(*by, "mm", "position", "con_base_1", "con_base_2", "var_base_1", "var_base_2", "consensus_SNP", "population_SNP")
+    each = [F.col(f"{c}_{k}") for k in (1, 2) for c in ("con_base", "ref_base", "var_base")]
+    depth = [sum(F.col(f"{b}_{k}") for b in BASES).alias(f"position_coverage_{k}") for k in (1, 2)]
+    return d.select(*by, "mm", "position", *each, *depth, *[f"{b}_{k}" for k in (1, 2) for b in BASES], "consensus_SNP", "population_SNP")
 
 
 def scaffold_comparison(overlap: DataFrame, differences: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -93,6 +93,14 @@ def disequilibrium(ab: Column, ab_: Column, a_b: Column, a_b_: Column) -> tuple[
     return r2, dp
 
 
+def published(table: DataFrame) -> DataFrame:
+    """The table with the names that users know: alleles in upper case are the major ones."""
+    names = {"major_A": "allele_A", "minor_A": "allele_a", "major_B": "allele_B", "minor_B": "allele_b"}
+    rest = [c for c in table.columns if c not in names and c != "counts"]
+    counts = [F.col("counts")[k].alias(c) for k, c in enumerate(("countAB", "countAb", "countaB", "countab"))]
+    return table.select(*rest, *[F.col(c).alias(n) for c, n in names.items()], *counts)
+
+
 def nonredundant(table: DataFrame, keys: list[str], level: int | None = None) -> DataFrame:
     return collapse(table, [*keys, "position_A", "position_B"], level)
 

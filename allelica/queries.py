@@ -863,7 +863,7 @@ def _c4(spark, sf):
 
 @query("c5_snp_differences", "SELECT * FROM dif", "dif")
 def _c5(spark, sf):
-    return differences(spark, sf)
+    return differences(spark, sf).select("scaffold", "name1", "name2", "mm", "position", "con_base_1", "con_base_2", "var_base_1", "var_base_2", "consensus_SNP", "population_SNP")
 
 
 @query("c7a_scaffold_comparison", "SELECT * FROM cmp", "cmp", "coverage_overlap percent_genome_compared conANI popANI")

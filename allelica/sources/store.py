@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,12 @@ COLUMN_ORDER = {
     "genome_info": "genome coverage breadth nucl_diversity length true_scaffolds detected_scaffolds coverage_median coverage_std coverage_SEM breadth_minCov breadth_expected nucl_diversity_rarefied "
     "conANI_reference popANI_reference iRep iRep_GC_corrected linked_SNV_count SNV_distance_mean r2_mean d_prime_mean consensus_divergent_sites population_divergent_sites SNS_count SNV_count "
     "filtered_read_pair_count reads_unfiltered_pairs reads_mean_PID",
+    "mapping_info": "scaffold pass_pairing_filter filtered_pairs",
+    "pairwise_SNP_locations": "mm scaffold position name1 name2 consensus_SNP population_SNP con_base_1 ref_base_1 var_base_1 position_coverage_1 A_1 C_1 T_1 G_1 "
+    "con_base_2 ref_base_2 var_base_2 position_coverage_2 A_2 C_2 T_2 G_2",
+    "pooled_SNV_info": "scaffold position depth A C T G ref_base con_base var_base sample_detections sample_5x_detections DivergentSite_count SNS_count SNV_count con_SNV_count pop_SNV_count",
+    "pooled_SNV_data": "sample scaffold position A C T G",
+    "pooled_SNV_data_keys": "key sample scaffold",
 }
 
 CATALOG = "name string, type string, description string"
@@ -60,9 +69,21 @@ class ProfileStore:
         return self.read(name).select("scaffold").distinct()
 
 
+@contextmanager
+def case_sensitive(spark: SparkSession) -> Iterator[None]:
+    """Some published columns differ by case only (``allele_A`` and ``allele_a``)."""
+    name = "spark.sql.caseSensitive"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def ordered(df: DataFrame, name: str) -> DataFrame:
     """Columns in a table's order, as far as it has them, then the rest by name."""
-    have = {c: c for c in df.columns}
+    have = set(df.columns)
     first = [c for c in COLUMN_ORDER.get(name, "").split() if c in have]
     return df.select(*first, *sorted(c for c in have if c not in first))
 
@@ -72,12 +93,13 @@ def write_table(df: DataFrame, path: str, name: str = "", header: str | None = N
 
     Without ``header`` files are written in parallel, each with column names.
     """
-    d = ordered(df, name) if name else df
-    flat = d.select(*[(F.to_json(F.col(c)) if t.startswith(("array", "map", "struct")) else F.col(c)).alias(c) for c, t in d.dtypes])
-    if header is None:
-        flat.write.mode("overwrite").csv(path, sep=sep, header=True, compression="gzip" if compress else "none")
-        return
-    # a report with one row a scaffold
-    text = flat.select(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns]), sep).alias("value"))
-    top = df.sparkSession.createDataFrame([(f"#{header}",), (sep.join(flat.columns),)], "value string")
-    top.coalesce(1).unionByName(text).coalesce(1).write.mode("overwrite").text(path, compression="gzip" if compress else "none")
+    with case_sensitive(df.sparkSession):
+        d = ordered(df, name) if name else df
+        flat = d.select(*[(F.to_json(F.col(c)) if t.startswith(("array", "map", "struct")) else F.col(c)).alias(c) for c, t in d.dtypes])
+        if header is None:
+            flat.write.mode("overwrite").csv(path, sep=sep, header=True, compression="gzip" if compress else "none")
+            return
+        # a report with one row a scaffold
+        text = flat.select(F.lit(2).alias("line"), F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns]), sep).alias("value"))
+        top = df.sparkSession.createDataFrame([(0, f"#{header}"), (1, sep.join(flat.columns))], "line int, value string")
+        top.unionByName(text).repartition(1).sortWithinPartitions("line").select("value").write.mode("overwrite").text(path, compression="gzip" if compress else "none")

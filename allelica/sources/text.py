@@ -151,6 +151,11 @@ def annotations(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return d.where(~((F.col("gene") == "gene") & (F.col("anno") == "anno"))).distinct()
 
 
+def long_annotations(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The long annotation table as it was written: genes and bases of each annotation in each sample's genomes."""
+    return spark.read.csv(paths, header=True, schema="sample string, anno string, genome string, genes long, bases long")
+
+
 def output_table(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated result table; lines starting with ``#`` are comments. Types are told from the data, which these small tables allow."""
     return spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=True)
