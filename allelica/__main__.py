@@ -1,4 +1,4 @@
-"""Command line: ``python -m allelica profile|compare|parse_annotations|quick_profile ...``."""
+"""Command line: ``python -m allelica profile|compare|parse_annotations|quick_profile|recluster|rarefaction_curve|run_statistics ...``."""
 
 from __future__ import annotations
 
@@ -29,7 +29,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", type=kind, default=value)
     p.add_argument("--rarefied_coverage", type=int, default=50, dest="rarefied")
     p.add_argument("--skip_mm_profiling", action="store_true", dest="skip_mm")
-    p.add_argument("--database_mode", action="store_true")
+    p.add_argument("--fdr", type=float, default=1e-6)
+    for flag, name in (("database_mode", "database_mode"), ("mm_level", "mm_level"), ("detailed_mapping_info", "detailed_mapping"), ("use_full_fasta_header", "full_header"), ("skip_genome_wide", "skip_genome_wide")):
+        p.add_argument(f"--{flag}", action="store_true", dest=name)
 
     c = sub.add_parser("compare", help="compare profiled samples")
     c.add_argument("-i", "--input", nargs="+", required=True, dest="stores")
@@ -39,7 +41,14 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min_freq", type=float, default=0.05)
     c.add_argument("-ani", "--ani_threshold", type=float, default=0.99999, dest="ani")
     c.add_argument("-cov", "--coverage_treshold", type=float, default=0.1, dest="least_compared")
-    c.add_argument("--clusterAlg", default="average", dest="method")
+    c.add_argument("--clusterAlg", default="average", dest="method", choices=["single", "complete", "average", "weighted", "centroid", "median", "ward"])
+    c.add_argument("-sc", "--scaffolds")
+    c.add_argument("--genome")
+    c.add_argument("--breadth", type=float, default=0.5)
+    for flag, name in (
+        ("database_mode", "database_mode"), ("include_self_comparisons", "self_comparisons"), ("store_mismatch_locations", "mismatch_locations"), ("store_coverage_overlap", "coverage_overlap"), ("skip_popANI", "skip_pop_ani"), ("force_compress", "compress"),
+    ):
+        c.add_argument(f"--{flag}", action="store_true", dest=name)
 
     a = sub.add_parser("parse_annotations", help="annotation tables")
     a.add_argument("-i", "--input", nargs="+", required=True, dest="stores")
@@ -55,6 +64,23 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-o", "--out", required=True)
     q.add_argument("-s", "--stb", nargs="*", default=[], dest="stb_files")
     q.add_argument("--breadth_cutoff", type=float, default=0.5, dest="breadth")
+
+    r = sub.add_parser("recluster", help="cluster a genome comparison again")
+    r.add_argument("table", help="genomeWide_compare table")
+    r.add_argument("-o", "--out", required=True)
+    r.add_argument("-ani", "--ani", type=float, default=99.0, help="in percent")
+    r.add_argument("--clusterAlg", default="single", dest="method")
+
+    f = sub.add_parser("rarefaction_curve", help="genome coverage of growing shares of the reads")
+    f.add_argument("alignment")
+    f.add_argument("fasta")
+    f.add_argument("-o", "--out", required=True)
+    f.add_argument("-s", "--stb", nargs="*", default=[], dest="stb_files")
+    f.add_argument("--fractions", nargs="+", type=float, default=[k / 10 for k in range(1, 11)])
+
+    t = sub.add_parser("run_statistics", help="reports of a log")
+    t.add_argument("log")
+    t.add_argument("-o", "--out", required=True)
     return top
 
 

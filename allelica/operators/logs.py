@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -66,3 +67,78 @@ def bytes_text(n: Column) -> Column:
     for k, u in reversed(list(enumerate(["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB"]))):
         out = F.when(F.abs(size) < 1024.0 ** (k + 1), text(size / 1024.0**k, u)).otherwise(out)
     return out
+
+
+def overall(events: DataFrame) -> DataFrame:
+    """Start, end, runtime, version and command of each run, and whether it finished; of one that didn't, the end is its last event.
+
+    Events have ``run_id, time, log_type, fields``.
+    """
+    first = lambda kind, c: F.min_by(F.when(F.col("log_type") == kind, c), F.when(F.col("log_type") == kind, F.col("time")))
+    g = events.groupBy("run_id").agg(
+        first("program_start", F.col("time")).alias("started"), first("program_end", F.col("time")).alias("end"), F.max("time").alias("last"),
+        first("program_start", F.col("fields")["version"]).alias("version"), first("program_start", F.col("fields")["cmd"]).alias("command"),
+    )
+    ended = F.coalesce("end", "last")
+    return g.where("started is not null").select("run_id", "version", "command", "started", ended.alias("ended"), F.col("end").isNotNull().alias("finished"), _seconds(F.col("started"), ended).alias("runtime"))
+
+
+def _seconds(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+
+
+def parallel_units(events: DataFrame, keys: list[str], order: str = "event_id") -> DataFrame:
+    """One row for each unit and step (``keys``): first start and end, runtime, change of memory, number of starts and process.
+
+    Events have ``status`` (start or end), ``time``, ``ram`` and ``pid``.
+    """
+    first = lambda what, c: F.min_by(F.when(F.col("status") == what, F.col(c)), F.when(F.col("status") == what, F.col(order)))
+    g = events.where(F.col("status").isin("start", "end")).groupBy(*keys).agg(
+        F.min_by("pid", order).alias("pid"), first("start", "time").alias("started"), first("end", "time").alias("ended"), first("start", "ram").alias("ram_start"), first("end", "ram").alias("ram_end"), F.count_if(F.col("status") == "start").alias("runs")
+    )
+    g = g.where("runs > 0")
+    return g.withColumns({"runtime": _seconds(F.col("started"), F.col("ended")), "ram_change": F.col("ram_end") - F.col("ram_start")})
+
+
+def multiprocessing(units: DataFrame, keys: list[str]) -> DataFrame:
+    """How well each group of units (``keys``) ran in parallel: wall time, processes, their average number and efficiency, and units' times."""
+    wall = _seconds(F.min("started"), F.max("ended"))
+    busy, pids = F.sum("runtime"), F.count_distinct("pid")
+    return units.groupBy(*keys).agg(
+        wall.alias("wall"), pids.alias("processes"), (busy / F.nullif(wall, F.lit(0.0))).alias("mean_processes"), (100.0 * busy / F.nullif(wall * pids, F.lit(0.0))).alias("efficiency"),
+        F.count_distinct("unit").alias("units"), F.avg("runtime").alias("mean_runtime"), F.median("runtime").alias("median_runtime"), F.max("runtime").alias("longest"),
+        F.max_by("unit", F.struct("runtime", "unit")).alias("longest_unit"),
+    )
+
+
+def process_efficiency(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Each process's share of the time from its first start to the last end of its group, and the memory that it starts units with."""
+    last = units.groupBy(*keys).agg(F.max("ended").alias("last"))
+    g = units.groupBy(*keys, "pid").agg(
+        F.sum("runtime").alias("busy"), F.min("started").alias("first"), F.min_by("ram_start", "started").alias("ram_first"), F.max_by("ram_start", "started").alias("ram_last"), F.min("ram_start").alias("ram_least"), F.max("ram_start").alias("ram_most")
+    )
+    span = _seconds(F.col("first"), F.col("last"))
+    return g.join(last, keys).select(*keys, "pid", "busy", (100.0 * F.col("busy") / F.nullif(span, F.lit(0.0))).alias("efficiency"), "ram_first", "ram_last", "ram_least", "ram_most")
+
+
+def step_shares(units: DataFrame, keys: list[str], step: str = "command", whole: str = "whole") -> DataFrame:
+    """The share of all parallel work that each step inside a unit takes."""
+    all_ = units.where(F.col(step) == whole).groupBy(*keys).agg(F.sum("runtime").alias("all"))
+    d = units.where(F.col(step) != whole).groupBy(*keys, step).agg(F.sum("runtime").alias("runtime"))
+    return d.join(all_, keys).select(*keys, step, "runtime", (100.0 * F.col("runtime") / F.nullif(F.col("all"), F.lit(0.0))).alias("percent"))
+
+
+def plots(events: DataFrame, keys: list[str], order: str = "event_id") -> DataFrame:
+    """How long each plot took: until the next one starts; what follows the first ``finished`` doesn't count."""
+    w = Window.partitionBy(*keys).orderBy("time", order)
+    done = F.max(F.col("plot") == "finished").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = events.withColumns({"next": F.lead("time").over(w), "done": done})
+    return d.where("not done and next is not null").select(*keys, order, "plot", _seconds(F.col("time"), F.col("next")).alias("runtime"))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Whole seconds as days, hours, minutes and seconds, without those that are 0 in front."""
+    s = F.floor(seconds).cast("long")
+    parts = [(F.floor(s / 86400), "day"), (F.floor(s % 86400 / 3600), "hour"), (F.floor(s % 3600 / 60), "minute"), (s % 60, "second")]
+    named = [F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")))) for n, unit in parts]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *named), F.lit("")), F.lit("0 seconds"))

@@ -48,6 +48,15 @@ def site_counts(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.where(F.col("base").isin(*BASES)).groupBy(*by).agg(*[F.count_if(F.col("base") == b).alias(b) for b in BASES])
 
 
+def with_reference(sites: DataFrame, sequences: DataFrame, block: int = 1000) -> DataFrame:
+    """Adds ``ref_base`` from ``scaffold, sequence``. Sites meet pieces of ``block`` bases, not whole sequences."""
+    d = sequences.select("scaffold", F.col("sequence").cast("binary").alias("raw"), F.length("sequence").alias("n")).where("n > 0")
+    d = d.select("scaffold", "raw", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {block} as int)"))).alias("_block"))
+    d = d.select("scaffold", "_block", F.substring("raw", F.col("_block") * block + 1, F.lit(block)).cast("string").alias("_piece"))
+    out = sites.withColumn("_block", F.expr(f"cast(position div {block} as int)")).join(d, ["scaffold", "_block"])
+    return out.withColumn("ref_base", F.expr(f"substring(_piece, cast(position % {block} as int) + 1, 1)")).drop("_block", "_piece")
+
+
 def cumulative(sites: DataFrame, keys: list[str], most: int = MAX_MM) -> DataFrame:
     """Counts over all levels up to each row's own."""
     return cumulate(sites.where(F.col("mm") <= most), [*keys, "position"], BASES)

@@ -157,7 +157,10 @@ def long_annotations(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def output_table(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated result table; lines starting with ``#`` are comments. Types are told from the data, which these small tables allow."""
+    """A tab-separated result table; lines starting with ``#`` are comments. Types are told from the data, which these small tables allow.
+
+    Columns that only differ by case get their place as a suffix, unless the session is case sensitive.
+    """
     return spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=True)
 
 

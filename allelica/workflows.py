@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelica.operators import annotations as an
-from allelica.operators import cluster, genes, genomes, irep, linkage, pileup, pooling, quick, reads, variants
+from allelica.operators import cluster, genes, genomes, irep, linkage, logs, pileup, pooling, quick, reads, variants
 from allelica.operators import compare as cmp
-from allelica.operators.nullmodel import from_table
+from allelica.operators.nullmodel import FDR, from_table, steps
 from allelica.plans.lineage import cut
 from allelica.plans.mm import collapse
 from allelica.sources import alignments, text
@@ -47,13 +47,21 @@ def profile(
     database_mode: bool = False,
     null_model: str | None = None,
     scaffolds: str | None = None,
+    fdr: float = FDR,
+    mm_level: bool = False,
+    detailed_mapping: bool = False,
+    full_header: bool = False,
+    skip_genome_wide: bool = False,
 ) -> ProfileStore:
-    """Profiles one sample: attributes go to ``out`` and the tables that users read to ``out/output``."""
+    """Profiles one sample: attributes go to ``out`` and the tables that users read to ``out/output``.
+
+    With ``mm_level`` these tables have a row for each mismatch level, else the last one's.
+    """
     if database_mode:
         min_read_ani, skip_mm, min_genome_coverage = reads.DATABASE_MODE["min_read_ani"], True, reads.DATABASE_MODE["min_genome_coverage"]
     store = ProfileStore(spark, out)
-    model = from_table(text.null_model(spark, null_model)) if null_model else None
-    ref = text.fasta(spark, fasta).select("scaffold", "length", "sequence")
+    model = from_table(text.null_model(spark, null_model), fdr) if null_model else None if fdr == FDR else steps(fdr)
+    ref = text.fasta(spark, fasta, full_header).select("scaffold", "length", "sequence")
     if scaffolds:
         ref = ref.join(text.scaffold_list(spark, scaffolds).distinct(), "scaffold", "left_semi")
     lengths = ref.select("scaffold", "length")
@@ -70,36 +78,37 @@ def profile(
     lengths = cut(wanted)
 
     bases = alignments.pileup(aligned.join(lengths.select("scaffold"), "scaffold", "left_semi"))
-    obs = pileup.keep_pairs(bases.withColumn("mm", F.lit(0)), reads.kept_pairs(judged, skip_mm)).join(ref.join(lengths.select("scaffold"), "scaffold", "left_semi"), "scaffold")
-    obs = obs.withColumn("ref_base", F.expr("substring(sequence, cast(position as int) + 1, 1)")).withColumn("split_number", pileup.split_of(F.col("position"), F.col("length"), window_length))
-    obs = cut(obs.drop("sequence", "length"))
-
-    counts = cut(pileup.site_counts(obs, KR))  # four tables start from it
-    plain = counts.drop("ref_base")
+    obs = cut(pileup.keep_pairs(bases.withColumn("mm", F.lit(0)), reads.kept_pairs(judged, skip_mm)))
+    plain = cut(pileup.site_counts(obs, K))  # four tables start from it
+    counts = pileup.with_reference(plain, ref)
     snv = cut(variants.snvs(variants.evaluate_sites(pileup.cumulative(counts, KR), min_cov, min_freq, model), KR))
     cov = pileup.coverage(plain, K)
     clon = pileup.clonality(pileup.cumulative(plain, K), K, min_cov, rarefied)
     info = cut(pileup.scaffold_info(plain, snv, lengths, K, min_cov, rarefied))
     lk = ["scaffold", "split_number"]
-    at = obs.select(*lk, "position").distinct()
-    poly = linkage.polymorphic(snv.join(at, ["scaffold", "position"]), lk)
-    co = linkage.co_occurrence(linkage.linked_observations(obs.drop("ref_base"), poly, lk), lk)
-    ld = cut(linkage.linkage(co, pileup.site_counts(obs, lk), lk, min_snp))
+    split = lambda d: d.join(lengths, "scaffold").withColumn("split_number", pileup.split_of(F.col("position"), F.col("length"), window_length)).drop("length")
+    linked = linkage.linked_observations(split(obs), linkage.polymorphic(split(snv), lk), lk)
+    ld = linkage.linkage(linkage.co_occurrence(linked, lk), split(plain), lk, min_snp)
+    ld = cut(linkage.rarefied(ld, min_snp))
 
     for name, df, what in (
         ("read_report", report, "reads of each scaffold through the filters"), ("counts", counts, "base counts at each position and level"), ("covT", cov, "depth at each level"),
         ("clonT", clon, "clonality at each level"), ("raw_snp_table", snv, "called sites at each level"), ("scaffold_info", info, "scaffolds at each level"), ("linkage", ld, "linkage at each level"), ("lengths", lengths, "scaffold lengths"),
     ):
         store.write(name, df, sample, what)
-    write_table(report, f"{out}/output/mapping_info", header=f"min_read_ani:{min_read_ani} min_mapq:{min_mapq} min_insert:{min_insert} max_insert_relative:{max_insert_relative} pairing_filter:{pairing}")
-    write_table(collapse(info, K), f"{out}/output/scaffold_info", "scaffold_info")
-    write_table(linkage.nonredundant(ld, lk).drop("mm"), f"{out}/output/linkage", "linkage")
-    calls = variants.nonredundant(snv, K).drop("mm")
+    last = (lambda d, keys: d) if mm_level else (lambda d, keys: collapse(d, keys).drop("mm"))
+    write_table(report, f"{out}/output/mapping_info", "mapping_info", header=f" min_read_ani:{min_read_ani} min_mapq:{min_mapq} min_insert:{min_insert} max_insert_relative:{max_insert_relative} pairing_filter:{pairing}")
+    if detailed_mapping:
+        write_table(reads.detailed_mapping(judged), f"{out}/output/detailed_mapping_info")
+    write_table(last(info, K), f"{out}/output/scaffold_info", "scaffold_info")
+    write_table(linkage.published(last(ld, [*lk, "position_A", "position_B"]).drop("split_number")), f"{out}/output/linkage", "linkage")
+    calls = snv.where("not cryptic") if mm_level else variants.nonredundant(snv, K).drop("mm")
     if gene_file:
         profile_genes(spark, store, sample, gene_file, out)
         calls = calls.join(store.read("SNP_mutation_types", [sample]).select("scaffold", "position", "gene", "mutation_type", "mutation"), ["scaffold", "position"], "left")
     write_table(calls, f"{out}/output/SNVs", "SNVs")
-    genome_wide(spark, store, sample, stb, out)
+    if not skip_genome_wide:
+        genome_wide(spark, store, sample, stb, out, ref.select("scaffold", "sequence"), mm_level)
     return store
 
 
@@ -117,28 +126,53 @@ def profile_genes(spark: SparkSession, store: ProfileStore, sample: str, gene_fi
     return info
 
 
-def genome_wide(spark: SparkSession, store: ProfileStore, sample: str, stb: DataFrame, out: str) -> DataFrame:
-    """Genome tables of a stored profile."""
+def genome_wide(spark: SparkSession, store: ProfileStore, sample: str, stb: DataFrame, out: str, sequences: DataFrame | None = None, mm_level: bool = False) -> DataFrame:
+    """Genome tables of a stored profile. iRep is that of pairs with at most one mismatch, and stands at each level."""
     mine = lambda n: store.read(n, [sample]).drop("sample")
-    lengths = mine("lengths")
+    lengths, cov = mine("lengths"), mine("covT")
     info = genomes.genome_scaffold_info(mine("scaffold_info"), stb, lengths, [])
-    stats = genomes.masked_stats(mine("covT"), stb, lengths, [])
-    g = genomes.genome_info(info, stats, genomes.read_rollup(mine("read_report"), stb), genomes.linkage_rollup(mine("linkage").drop("split_number"), stb, []))
-    dense = genomes.add_genome(pileup.dense_coverage(mine("counts").drop("ref_base"), K, lengths), stb).where("genome is not null")
-    offs = lengths.join(stb, "scaffold").where(F.col("length") >= 2 * genomes.EDGE)
-    from allelica.operators.plotdata import offsets
-
-    placed = dense.join(offsets(offs.select("scaffold", "length"), stb).select("scaffold", "offset"), "scaffold").withColumn("position", F.col("position") + F.col("offset"))
-    scaffolds = stb.groupBy("genome").agg(F.count("*").alias("scaffolds"))
-    rep = irep.irep(placed.select("genome", "position", "coverage"), ["genome"], scaffolds).select("genome", "iRep")
-    g = cut(g.join(rep, "genome", "left"))
+    stats = genomes.masked_stats(cov, stb, lengths, [])
+    rollup = genomes.read_rollup(mine("read_report"), stb).withColumnRenamed("reads_filtered_pairs", "filtered_read_pair_count")
+    g = genomes.genome_info(info, stats, rollup, genomes.linkage_rollup(mine("linkage").drop("split_number"), stb, []))
+    places = cut(genomes.placed(lengths, stb))
+    depths = genomes.genome_depths(cov.where("mm <= 1"), places, []).groupBy("genome", "position").agg(F.sum("coverage").alias("coverage"))
+    gc = irep.sliding_gc(sequences, places, ["genome"], edge=genomes.EDGE) if sequences is not None else None
+    rep = irep.irep(depths, genomes.inner_lengths(places), ["genome"], stb.join(lengths, "scaffold").groupBy("genome").agg(F.count("*").alias("scaffolds")), gc)
+    g = cut(g.join(rep.select("genome", "iRep", "iRep_GC_corrected"), "genome", "left"))
     store.write("genome_info", g, sample, "genomes at each level")
-    write_table(collapse(g, ["genome"]), f"{out}/output/genome_info", "genome_info")
+    table = g if mm_level else collapse(g, ["genome"]).drop("mm")
+    kept = ("reads_unfiltered_reads", "reads_unfiltered_pairs", "reads_mean_PID")
+    write_table(table.drop(*[c for c in table.columns if c.startswith("reads_") and c not in kept]), f"{out}/output/genome_info", "genome_info")
     return g
 
 
-def compare(spark: SparkSession, stores: list[str], out: str, stb_files: list[str] = (), min_cov: int = 5, min_freq: float = 0.05, ani: float = 0.99999, method: str = "average", least_compared: float = 0.1, pool: bool = True) -> dict[str, DataFrame]:
-    """Compares samples of one or several stores: scaffolds, genomes, strain clusters, and pooled SNVs."""
+def compare(
+    spark: SparkSession,
+    stores: list[str],
+    out: str,
+    stb_files: list[str] = (),
+    min_cov: int = 5,
+    min_freq: float = 0.05,
+    ani: float = 0.99999,
+    method: str = "average",
+    least_compared: float = 0.1,
+    pool: bool = True,
+    database_mode: bool = False,
+    breadth: float = 0.5,
+    scaffolds: str | None = None,
+    genome: str | None = None,
+    self_comparisons: bool = False,
+    mismatch_locations: bool = False,
+    coverage_overlap: bool = False,
+    skip_pop_ani: bool = False,
+    compress: bool = False,
+) -> dict[str, DataFrame]:
+    """Compares samples of one or several stores: scaffolds, genomes, strain clusters, and pooled SNVs.
+
+    ``scaffolds`` (a list or FASTA file) and ``genome`` restrict what is compared;
+    in ``database_mode`` each sample has the scaffolds of the genomes of which it covers ``breadth``.
+    """
+
     def read(name: str) -> DataFrame:
         parts = [ProfileStore(spark, s).read(name) for s in stores]
         whole = parts[0]
@@ -146,23 +180,78 @@ def compare(spark: SparkSession, stores: list[str], out: str, stb_files: list[st
             whole = whole.unionByName(p)
         return whole
 
-    cov, snv, counts = cut(read("covT")), cut(read("raw_snp_table")), read("counts")
+    cov, snv, counts = read("covT"), cut(read("raw_snp_table")), read("counts")
     lengths = read("lengths").groupBy("scaffold").agg(F.max("length").alias("length"))
     stb = text.resolve_stb(spark, list(stb_files), lengths)
-    sites = cut(cmp.overlap_sites(cov, cmp.sample_pairs(cov.join(cmp.shared_scaffolds(cov), "scaffold", "left_semi")), min_cov))
-    differ = cut(cmp.snp_differences(sites, cmp.snp_table(snv), min_freq))
-    table = cut(cmp.scaffold_comparison(cmp.coverage_overlap(sites), differ, lengths))
-    whole = cut(cmp.genome_comparison(table, stb, genomes.genome_lengths(lengths, stb)))
-    strains = cluster.strain_clusters(whole, ani, method, least_compared)
-    tables = {
-        "comparisonsTable": collapse(table, ["scaffold", "name1", "name2"]).drop("mm"), "genomeWide_compare": whole, "strain_clusters": strains,
-        "pairwise_SNP_locations": collapse(differ, ["scaffold", "position", "name1", "name2"]).drop("mm"),
-    }
+    only = text.scaffold_list(spark, scaffolds) if scaffolds else None
+    if genome is not None:
+        of = stb.where(F.col("genome") == genome).select("scaffold")
+        only = of if only is None else only.join(of, "scaffold", "left_semi")
+    if only is not None:
+        cov = cov.join(only.distinct(), "scaffold", "left_semi")
+    if database_mode:
+        cov = cov.join(cmp.database_mode(read("genome_info"), stb, breadth), ["sample", "scaffold"], "left_semi")
+    cov = cut(cov)
+    tables: dict[str, DataFrame] = {}
+    if not skip_pop_ani:
+        held = cov if self_comparisons else cov.join(cmp.shared_scaffolds(cov), "scaffold", "left_semi")
+        sites = cut(cmp.overlap_sites(cov, cmp.sample_pairs(held, self_comparisons=self_comparisons), min_cov))
+        overlap = cmp.coverage_overlap(sites)
+        differ = cut(cmp.snp_differences(sites, cmp.snp_table(snv), min_freq))
+        table = cut(cmp.scaffold_comparison(overlap, differ, lengths))
+        whole = cut(cmp.genome_comparison(table, stb, genomes.genome_lengths(lengths, stb)))
+        others = whole.where("name1 <> name2")
+        tables |= {"comparisonsTable": collapse(table, ["scaffold", "name1", "name2"]).drop("mm"), "genomeWide_compare": whole, "strain_clusters": cluster.strain_clusters(others, ani, method, least_compared)}
+        if mismatch_locations:
+            tables["pairwise_SNP_locations"] = collapse(differ, ["scaffold", "position", "name1", "name2"]).drop("mm")
+        if coverage_overlap:
+            tables["coverage_overlap"] = overlap
     if pool:
-        called = cut(pooling.called_positions(snv))
+        mine = snv if only is None else snv.join(only.distinct(), "scaffold", "left_semi")
+        called = cut(pooling.called_positions(mine))
         data = cut(pooling.pooled_data(called, counts))
         encoded, keys = pooling.encoded(data)
-        tables |= {"pooled_SNV_info": pooling.pooled_info(called, data), "pooled_SNV_data": encoded, "pooled_SNV_data_keys": keys}
+        encoded = encoded.withColumnsRenamed({"sample_key": "sample", "scaffold_key": "scaffold"})
+        wide = keys.groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col("name"))).alias(k) for k in ("sample", "scaffold")])
+        tables |= {"pooled_SNV_info": pooling.pooled_info(called, data), "pooled_SNV_data": encoded, "pooled_SNV_data_keys": wide}
+    for name, df in tables.items():
+        write_table(df, f"{out}/output/{name}", name, compress=compress)
+    return tables
+
+
+def recluster(spark: SparkSession, table: str, out: str, ani: float = 99.0, method: str = "single") -> DataFrame:
+    """Clusters a written ``genomeWide_compare`` table again."""
+    d = text.output_table(spark, table)
+    got = cluster.recluster(d, ani, method)
+    write_table(got, f"{out}/output/strain_clusters")
+    return got
+
+
+def rarefaction_curve(spark: SparkSession, alignment: str, fasta: str, out: str, stb_files: list[str] = (), fractions: list[float] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
+    """Genome coverage of growing shares of the reads."""
+    lengths = cut(text.fasta(spark, fasta).select("scaffold", "length"))
+    stb = text.resolve_stb(spark, list(stb_files), lengths)
+    got = quick.rarefaction(open_reads(spark, alignment), lengths, stb, list(fractions))
+    write_table(got, f"{out}/output/rarefaction", sep=",")
+    return got
+
+
+def run_statistics(spark: SparkSession, log: str, out: str) -> dict[str, DataFrame]:
+    """Reports of the latest run of a log: the whole run, checkpoints, parallel steps, genes, plots and failures."""
+    lines = text.logs(spark, log)
+    f = F.col("fields")
+    e = lines.select(
+        "time", F.col("line").alias("event_id"), "fields", "log_type", f["status"].alias("status"), F.coalesce(f["unit"], f["scaffold"], f["name"]).alias("unit"), f["PID"].alias("pid"),
+        F.coalesce(f["process_RAM"], f["RAM"]).cast("double").alias("ram"), F.coalesce(f["command"], f["what"]).alias("command"), F.coalesce(f["class"], F.lit("")).alias("class"), f["plot"].alias("plot"), F.coalesce(f["run_id"], F.lit("0")).alias("run_id"),
+    )
+    e = cut(logs.latest_run(e))
+    workers = logs.parallel_units(e.where("log_type = 'WorkerLog'"), ["command", "unit"])
+    groups = logs.parallel_units(e.where("log_type = 'GroupLog'"), ["command", "unit"])
+    genes_ = logs.parallel_units(e.where("log_type = 'Special_genes'"), ["command", "unit"]).withColumn("run_id", F.lit("0"))
+    tables = {
+        "overall": logs.overall(e), "checkpoints": logs.checkpoints(e.where("log_type = 'checkpoint'"), ["class"]), "parallel_steps": logs.multiprocessing(workers, ["command"]), "processes": logs.process_efficiency(workers, ["command"]),
+        "groups": logs.multiprocessing(groups, ["command"]), "gene_steps": logs.step_shares(genes_, ["run_id"]), "plots": logs.plots(e.where("log_type = 'Plotting'"), ["run_id"]), "failures": e.where("log_type = 'Failure'").groupBy("unit").agg(F.count("*").alias("failures")),
+    }
     for name, df in tables.items():
         write_table(df, f"{out}/output/{name}")
     return tables
