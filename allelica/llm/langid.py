@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.linear import hinge_dual_dense, sigmoid
+from allelica.llm.common import cut, small
+from allelica.llm.linear import hinge_dual_dense, likely, sigmoid
 from allelica.llm.textblocks import buffers, slices
 
 BITS = 13
@@ -150,18 +151,20 @@ class Model:
 def train(docs: DataFrame, eligible: Column, lang: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """Fits on at most ``per_language`` documents of each language among the ``eligible`` rows with a language.
 
-    Ids with the least hash are taken, found without reading texts, all
-    languages in one pass.  Documents of all languages together are about
+    Of ids with a small hash those with the least are taken, found without reading
+    texts, all languages at once.  Documents of all languages together are about
     ``SAMPLE`` at most.  Of rows with one id the least language and text count.
     """
     ok = docs.where(eligible & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
     both = ok.select(F.col(id_col).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"))
-    langs = both.select("lang").distinct().count()
+    sizes = cut(both.groupBy("lang").agg(F.count("*").alias("rows")))
+    langs = sizes.count()
     if not langs:
         return Model([], [])
-    # a partition sends the first rows of a language only, so that no language is gathered in one task
+    each = max(1, min(per_language, SAMPLE // langs))
+    few = both.join(small(sizes, langs), "lang").where(likely("id", each, F.col("rows"))).select("id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    sample = both.withColumn("rank", rank).where(F.col("rank") <= max(1, min(per_language, SAMPLE // langs))).select("id", "lang").distinct()
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= each).select("id", "lang")
     d = ok.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     # bounded: about SAMPLE rows
     got = d.join(F.broadcast(sample), ["id", "lang"]).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row")).select("id", "row.*").toPandas().sort_values("id")
