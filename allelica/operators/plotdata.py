@@ -49,10 +49,12 @@ def major_allele_frequencies(snv: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def linkage_decay(linkage: DataFrame, keys: list[str], width: int = 5, least: int = 5) -> DataFrame:
-    """Mean r2 and D' by distance; null with fewer than ``least`` values."""
-    g = linkage.groupBy(*keys, (F.floor(F.col("distance") / width) * width).cast("long").alias("bin"))
+    """Mean r2 and D' by distance, in all bins up to the farthest pair's; null with fewer than ``least`` values."""
     enough = lambda c: F.when(F.count(c) >= least, F.avg(c)).alias(c)
-    return g.agg(F.count("*").alias("pairs"), enough("r2"), enough("d_prime"))
+    g = linkage.groupBy(*keys, (F.floor(F.col("distance") / width) * width).cast("long").alias("bin")).agg(F.count("*").alias("pairs"), enough("r2"), enough("d_prime"))
+    top = g.groupBy(*keys).agg(F.max("bin").alias("top"))
+    every = top.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"), F.lit(width).cast("long"))).alias("bin"))
+    return every.join(g, [*keys, "bin"], "left").fillna(0, ["pairs"])
 
 
 def linkage_by_type(linkage: DataFrame, types: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

@@ -1016,11 +1016,22 @@ def _a3(spark, sf):
     return long_annotations(spark, sf)
 
 
-@query("a4_wide_genes", "SELECT sample, " + ", ".join(f"CAST(coalesce(sum(genes) FILTER (WHERE anno = 'Brand#{k}'), 0) AS BIGINT) AS brand_{k}" for k in (11, 12, 13)) + " FROM along GROUP BY 1", "along")
-def _a4(spark, sf):
-    d = long_annotations(spark, sf)
-    w = an.wide_table(d, "genes", d.select("sample"), ["Brand#11", "Brand#12", "Brand#13"])
-    return w.select("sample", *[F.col(f"`Brand#{k}`").alias(f"brand_{k}") for k in (11, 12, 13)])
+_BRANDS = range(1, 26)
+
+
+def _wide(value: str, total: str) -> None:
+    """One column for each of the 25 annotations."""
+    cols = ", ".join(f"CAST(coalesce({total} FILTER (WHERE anno = 'Brand#{k}'), 0) AS BIGINT) AS brand_{k}" for k in _BRANDS)
+
+    @query(f"a4_wide_{value}", f"SELECT sample, {cols} FROM along GROUP BY 1", "along")
+    def _a4(spark, sf):
+        d = cut(long_annotations(spark, sf))  # read three times
+        w = an.wide_table(d, value, d.select("sample"), [f"Brand#{k}" for k in _BRANDS])
+        return w.select("sample", *[F.col(f"`Brand#{k}`").alias(f"brand_{k}") for k in _BRANDS])
+
+
+for _value, _total in (("genes", "sum(genes)"), ("bases", "sum(bases)"), ("genomes", "count(*)")):
+    _wide(_value, _total)
 
 
 @query(
@@ -1093,14 +1104,26 @@ FRAGMENTS["offs"] = "offs AS (SELECT scaffold, length, genome, CAST(coalesce(sum
 NEEDS["offs"] = ["lens", "stb"]
 
 
-@query(
-    "t2_windowed_coverage",
-    "SELECT sample, genome, k AS window, CAST(sum(coverage) / any_value(w) AS DOUBLE) AS value FROM (SELECT sample, genome, coverage, w, unnest(CASE WHEN (position + offs) % w = 0 AND (position + offs) // w > 0 THEN [(position + offs) // w - 1, (position + offs) // w] ELSE [(position + offs) // w] END) AS k FROM cov JOIN offs USING (scaffold)) GROUP BY 1, 2, 3",
-    "cov offs",
-    "value",
-)
+_WINDOWED = "SELECT sample, genome, k AS window, {} AS value FROM (SELECT sample, genome, v, w, unnest(CASE WHEN (position + offs) % w = 0 AND (position + offs) // w > 0 THEN [(position + offs) // w - 1, (position + offs) // w] ELSE [(position + offs) // w] END) AS k FROM ({}) JOIN offs USING (scaffold)) GROUP BY 1, 2, 3"
+
+
+def windows_of(spark, sf, values, value: str, how: str):
+    return plotdata.windowed(values, plotdata.offsets(ad.lengths(spark, sf), ad.stb(spark, sf)), ["sample"], value, how, 20)
+
+
+@query("t2_windowed_coverage", _WINDOWED.format("CAST(sum(v) / any_value(w) AS DOUBLE)", "SELECT *, coverage AS v FROM cov"), "cov offs", "value")
 def _t2(spark, sf):
-    return plotdata.windowed(cov(spark, sf), plotdata.offsets(ad.lengths(spark, sf), ad.stb(spark, sf)), ["sample"], "coverage", "sum", 20)
+    return windows_of(spark, sf, cov(spark, sf), "coverage", "sum")
+
+
+@query("t2_windowed_diversity", _WINDOWED.format("avg(v)", "SELECT *, 1 - clonality AS v FROM clon WHERE mm = 4"), "clon offs", "value")
+def _t2b(spark, sf):
+    return windows_of(spark, sf, clon(spark, sf).where("mm = 4").withColumn("diversity", F.lit(1.0) - F.col("clonality")), "diversity", "mean")
+
+
+@query("t2_windowed_snvs", _WINDOWED.format("CAST(count(*) / any_value(w) AS DOUBLE)", "SELECT *, 1 AS v FROM last"), "last offs", "value")
+def _t2c(spark, sf):
+    return windows_of(spark, sf, collapse(snv(spark, sf), [*K, "position"]), "position", "density")
 
 
 @query("t3_pair_ani", "SELECT sample, mm, (100 - mm) / 100.0 AS ANI, sum(coverage) / 200.0 AS pairs FROM cov GROUP BY 1, 2", "cov", "ANI pairs")
@@ -1113,7 +1136,13 @@ def _t4(spark, sf):
     return plotdata.major_allele_frequencies(snv(spark, sf), ["sample"])
 
 
-@query("t5_linkage_decay", "SELECT scaffold, distance // 5 * 5 AS bin, count(*) AS pairs, CASE WHEN count(r2) >= 5 THEN avg(r2) END AS r2, CASE WHEN count(d_prime) >= 5 THEN avg(d_prime) END AS d_prime FROM lld GROUP BY 1, 2", "lld", "r2 d_prime")
+@query(
+    "t5_linkage_decay",
+    """SELECT scaffold, bin, count(distance) AS pairs, CASE WHEN count(r2) >= 5 THEN avg(r2) END AS r2, CASE WHEN count(d_prime) >= 5 THEN avg(d_prime) END AS d_prime FROM
+    (SELECT scaffold, unnest(range(0, max(distance) // 5 * 5 + 1, 5)) AS bin FROM lld GROUP BY 1) LEFT JOIN (SELECT *, distance // 5 * 5 AS bin FROM lld) USING (scaffold, bin) GROUP BY 1, 2""",
+    "lld",
+    "r2 d_prime",
+)
 def _t5(spark, sf):
     return plotdata.linkage_decay(ld(spark, sf), ["scaffold"])
 
@@ -1168,6 +1197,78 @@ def _r6(spark, sf):
     return logs.failures(events(spark, sf), ["run_id"])
 
 
+FRAGMENTS["par"] = """par0 AS (SELECT run_id, unit, arg_min(pid, event_id) AS pid, arg_min(time, event_id) FILTER (WHERE status = 'start') AS started, arg_min(time, event_id) FILTER (WHERE status = 'end') AS ended,
+    arg_min(ram, event_id) FILTER (WHERE status = 'start') AS ram_start, arg_min(ram, event_id) FILTER (WHERE status = 'end') AS ram_end, count(*) FILTER (WHERE status = 'start') AS runs
+    FROM evt WHERE status IN ('start', 'end') GROUP BY 1, 2 HAVING count(*) FILTER (WHERE status = 'start') > 0), par AS (SELECT *, (epoch_us(ended) - epoch_us(started)) / 1e6 AS runtime, ram_end - ram_start AS ram_change FROM par0)"""
+NEEDS["par"] = ["evt"]
+
+
+@query("r8_parallel_units", "SELECT run_id, unit, pid, runs, runtime, ram_change FROM par", "par", "runtime ram_change")
+def _r8a(spark, sf):
+    return logs.parallel_units(events(spark, sf), ["run_id", "unit"]).select("run_id", "unit", "pid", "runs", "runtime", "ram_change")
+
+
+@query(
+    "r8_multiprocessing",
+    """SELECT *, busy / nullif(wall, 0) AS mean_processes, 100.0 * busy / nullif(wall * processes, 0) AS efficiency FROM (SELECT run_id, (epoch_us(max(ended)) - epoch_us(min(started))) / 1e6 AS wall, count(DISTINCT pid) AS processes, sum(runtime) AS busy,
+    count(DISTINCT unit) AS units, avg(runtime) AS mean_runtime, median(runtime) AS median_runtime, max(runtime) AS longest, arg_max(unit, (runtime, unit)) FILTER (WHERE runtime IS NOT NULL) AS longest_unit FROM par GROUP BY 1)""",
+    "par",
+    "wall busy mean_processes efficiency mean_runtime median_runtime longest",
+)
+def _r8b(spark, sf):
+    u = logs.parallel_units(events(spark, sf), ["run_id", "unit"])
+    return logs.multiprocessing(u, ["run_id"]).join(u.groupBy("run_id").agg(F.sum("runtime").alias("busy")), "run_id")
+
+
+@query(
+    "r8_processes",
+    """SELECT run_id, pid, busy, 100.0 * busy / nullif((epoch_us(last) - epoch_us(first)) / 1e6, 0) AS efficiency, ram_least, ram_most FROM (SELECT run_id, pid, sum(runtime) AS busy, min(started) AS first, min(ram_start) AS ram_least, max(ram_start) AS ram_most FROM par GROUP BY 1, 2)
+    JOIN (SELECT run_id, max(ended) AS last FROM par GROUP BY 1) USING (run_id)""",
+    "par",
+    "busy efficiency ram_least ram_most",
+)
+def _r8c(spark, sf):
+    u = logs.parallel_units(events(spark, sf), ["run_id", "unit"])
+    return logs.process_efficiency(u, ["run_id"]).select("run_id", "pid", "busy", "efficiency", "ram_least", "ram_most")
+
+
+@query(
+    "r7_step_shares",
+    """SELECT run_id, unit AS command, runtime, 100.0 * runtime / nullif(whole, 0) AS percent FROM par JOIN (SELECT run_id, runtime AS whole FROM par WHERE unit = 'unit_0') USING (run_id) WHERE unit <> 'unit_0'""",
+    "par",
+    "runtime percent",
+)
+def _r7a(spark, sf):
+    u = logs.parallel_units(events(spark, sf), ["run_id", "unit"]).withColumnRenamed("unit", "command")
+    return logs.step_shares(u, ["run_id"], whole="unit_0")
+
+
+@query(
+    "r7_plots",
+    """SELECT run_id, event_id, unit AS plot, (epoch_us(next) - epoch_us(time)) / 1e6 AS runtime FROM (SELECT *, lead(time) OVER w AS next, bool_or(unit = 'finished') OVER (PARTITION BY run_id ORDER BY time, event_id ROWS UNBOUNDED PRECEDING) AS done
+    FROM (SELECT * REPLACE (CASE WHEN event_id % 4000 = 3999 THEN 'finished' ELSE unit END AS unit) FROM evt) WINDOW w AS (PARTITION BY run_id ORDER BY time, event_id)) WHERE NOT done AND next IS NOT NULL""",
+    "evt",
+    "runtime",
+)
+def _r7b(spark, sf):
+    e = events(spark, sf).withColumn("plot", F.when(F.col("event_id") % 4000 == 3999, "finished").otherwise(F.col("unit")))
+    return logs.plots(e, ["run_id"])
+
+
+@query(
+    "r7_overall",
+    """SELECT run_id, version, command, finished, (epoch_us(ended) - epoch_us(started)) / 1e6 AS runtime FROM (SELECT run_id, arg_min(unit, time) FILTER (WHERE status = 'start') AS version, arg_min(CAST(event_id AS VARCHAR), time) FILTER (WHERE status = 'start') AS command,
+    min(time) FILTER (WHERE status = 'start') AS started, coalesce(min(time) FILTER (WHERE status = 'end' AND run_id <> 'run_1'), max(time)) AS ended, count(*) FILTER (WHERE status = 'end' AND run_id <> 'run_1') > 0 AS finished FROM evt GROUP BY 1)""",
+    "evt",
+    "runtime",
+)
+def _r7c(spark, sf):
+    # one run has no end
+    kind = F.when(F.col("status") == "start", "program_start").when((F.col("status") == "end") & (F.col("run_id") != "run_1"), "program_end")
+    e = events(spark, sf).withColumn("log_type", kind).withColumn("fields", F.create_map(F.lit("version"), "unit", F.lit("cmd"), F.col("event_id").cast("string")))
+    return logs.overall(e).select("run_id", "version", "command", "finished", "runtime")
+
+
 @query("r1_key_values", "SELECT event_id, 'v' || event_id AS a, 'x=' || user_id AS b FROM events")
 def _r1(spark, sf):
     e = ad.table(spark, sf, "events")
