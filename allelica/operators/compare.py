@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from allelica.functions.bases import BASES, present, ratio
 from allelica.operators.nullmodel import min_bases
 from allelica.plans.lineage import cut
-from allelica.plans.mm import carry_forward, collapse
+from allelica.plans.mm import collapse
 
 MIN_COV, MIN_FREQ = 5, 0.05
 
@@ -47,11 +47,14 @@ def overlap_sites(coverage: DataFrame, pairs: DataFrame, min_cov: int = MIN_COV)
     by = ["scaffold", "name1", "name2"]
     levels = one.unionByName(two).distinct()
 
+    # each sample's depths once, whatever the number of its pairs: from which level on, and up to which, a position is covered enough
+    w = Window.partitionBy(*own, "position").orderBy("mm")
+    depth = F.sum("coverage").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    c = coverage.select(*own, "position", F.col("mm").alias("_from"), depth.alias("_depth"), F.lead("mm").over(w).alias("_next")).where(F.col("_depth") >= min_cov)
+
     def side(name: str) -> DataFrame:
-        c = pairs.join(coverage.withColumnRenamed("sample", name), [name, "scaffold"]).select(*by, "position", "mm", "coverage")
-        w = Window.partitionBy(*by, "position").orderBy("mm").rowsBetween(Window.unboundedPreceding, 0)
-        c = c.withColumn("depth", F.sum("coverage").over(w)).drop("coverage")
-        return carry_forward(c, [*by, "position"], levels, by).where(F.col("depth") >= min_cov).select(*by, "position", "mm", F.lit(True).alias(f"in_{name}"))
+        inside = (F.col("mm") >= F.col("_from")) & (F.col("_next").isNull() | (F.col("mm") < F.col("_next")))
+        return levels.join(c.withColumnRenamed("sample", name), [name, "scaffold"]).where(inside).select(*by, "position", "mm", F.lit(True).alias(f"in_{name}"))
 
     d = side("name1").join(side("name2"), [*by, "position", "mm"], "full")
     return d.fillna(False, ["in_name1", "in_name2"])
