@@ -6,12 +6,12 @@ with many genes don't compare every site with every gene.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelica.functions.bases import ratio
 from allelica.functions.codons import codons, synonymous_sites, translate
-from allelica.plans.mm import carry_forward, collapse
+from allelica.plans.mm import carry_forward, change, collapse, cumulate, with_last
 
 BIN = 1000
 
@@ -46,13 +46,24 @@ def gene_coverage(coverage: DataFrame, genes: DataFrame, keys: list[str]) -> Dat
     return d.select(*by, "mm", (F.col("s") / F.col("gene_length")).alias("coverage"), (F.col("n") / F.col("gene_length")).alias("breadth"))
 
 
+def _totals(sites: DataFrame, parts: dict[str, Column], by: list[str], levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of what changes in each gene at each level, from the gene's first level on.
+
+    Sites are those of levels at which they change, not of all levels; what is
+    repeated at every level are the genes' totals.
+    """
+    d = sites.groupBy(*by, "mm").agg(*[c.alias(n) for n, c in parts.items()])
+    return carry_forward(cumulate(d, by, list(parts)), by, levels, keys)
+
+
 def gene_clonality(clon: DataFrame, genes: DataFrame, keys: list[str]) -> DataFrame:
     """Nucleotide diversity and counted breadth of each gene at each level, positions as at the last level up to it."""
-    at = carry_forward(clon.select(*keys, "position", "mm", "clonality"), [*keys, "position"], clon.select(*keys, "mm").distinct(), keys)
-    d = in_genes(at, with_length(genes), ["gene", "gene_length"])
-    return d.groupBy(*keys, "gene", "mm").agg(
-        (F.lit(1.0) - F.avg("clonality")).alias("nucl_diversity"), (F.count("*") / F.first("gene_length")).alias("breadth_minCov")
-    )
+    d = with_last(clon.select(*keys, "position", "mm", "clonality"), [*keys, "position"], ["clonality"])
+    d = in_genes(d, with_length(genes), ["gene", "gene_length"])
+    now, was = F.col("clonality"), F.coalesce("was_clonality", F.lit(0.0))
+    parts = {"s": F.sum(now - was), "n": F.count_if(F.col("was_clonality").isNull())}
+    d = _totals(d, parts, [*keys, "gene", "gene_length"], clon.select(*keys, "mm").distinct(), keys)
+    return d.select(*keys, "gene", "mm", (F.lit(1.0) - F.col("s") / F.col("n")).alias("nucl_diversity"), (F.col("n") / F.col("gene_length")).alias("breadth_minCov"))
 
 
 def site_numbers(genes: DataFrame) -> DataFrame:
@@ -99,15 +110,15 @@ def gene_snp_counts(snv: DataFrame, types: DataFrame, genes: DataFrame, keys: li
 
     dN/dS of substitutions and pN/pS of variants are null without synonymous ones.
     """
-    at = carry_forward(snv.select(*keys, "position", "mm", "allele_count"), [*keys, "position"], snv.select(*keys, "mm").distinct(), keys)
-    at = at.join(types.select(*keys, "position", "mutation_type"), [*keys, "position"], "left")
-    d = in_genes(at, genes, ["gene"])
-    sns, snv_ = F.col("allele_count") == 1, F.col("allele_count") == 2
-    s, n = F.col("mutation_type") == "S", F.col("mutation_type") == "N"
-    g = d.groupBy(*keys, "gene", "mm").agg(
-        F.count("*").alias("divergent_site_count"), F.count_if(sns).alias("SNS_count"), F.count_if(snv_).alias("SNV_count"),
-        F.count_if(sns & s).alias("SNS_S_count"), F.count_if(sns & n).alias("SNS_N_count"), F.count_if(snv_ & s).alias("SNV_S_count"), F.count_if(snv_ & n).alias("SNV_N_count"),
-    ).join(site_numbers(genes), "gene")
+    d = with_last(snv.select(*keys, "position", "mm", "allele_count"), [*keys, "position"], ["allele_count"])
+    d = d.join(types.select(*keys, "position", "mutation_type"), [*keys, "position"], "left")
+    d = in_genes(d, genes, ["gene"])
+    parts = {"divergent_site_count": F.count_if(F.col("was_allele_count").isNull())}
+    for kind, alleles in (("SNS", 1), ("SNV", 2)):
+        more = change(F.col("allele_count") == alleles, F.col("was_allele_count") == alleles)
+        parts[f"{kind}_count"] = F.sum(more)
+        parts |= {f"{kind}_{t}_count": F.sum(F.when(F.col("mutation_type") == t, more).otherwise(0)) for t in "SN"}
+    g = _totals(d, parts, [*keys, "gene"], snv.select(*keys, "mm").distinct(), keys).join(site_numbers(genes), "gene")
 
     def nonsyn(kind: str):
         return F.when(

@@ -29,12 +29,14 @@ def linked_observations(obs: DataFrame, sites: DataFrame, keys: list[str]) -> Da
 def co_occurrence(linked: DataFrame, keys: list[str]) -> DataFrame:
     """How often each two sites of one window show each combination of bases in one pair.
 
-    A join of a pair's own sites with each other: a pair covers a few dozen at most.
+    A pair's sites come together once, sorted, and each meets those after it.  Windows of ``keys``
+    bound their number, whatever the length of reads.
     """
     by = [*keys, "pair", "mm"]
-    a = linked.select(*by, F.col("position").alias("position_A"), F.col("base").alias("base_A"))
-    b = linked.select(*by, F.col("position").alias("position_B"), F.col("base").alias("base_B"))
-    d = a.join(b, by).where("position_A < position_B")
+    d = linked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("position", "base"))).alias("own")).where(F.size("own") > 1)
+    d = d.select(*keys, "mm", "own", F.posexplode("own").alias("at", "a"))
+    d = d.select(*keys, "mm", F.col("a.position").alias("position_A"), F.col("a.base").alias("base_A"), F.explode(F.expr("slice(own, at + 2, size(own))")).alias("b"))
+    d = d.select(*keys, "mm", "position_A", F.col("b.position").alias("position_B"), "base_A", F.col("b.base").alias("base_B")).where("position_A < position_B")
     return d.groupBy(*keys, "position_A", "position_B", "mm", "base_A", "base_B").agg(F.count("*").alias("n"))
 
 

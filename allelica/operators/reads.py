@@ -35,18 +35,21 @@ def pair_reads(reads: DataFrame) -> DataFrame:
         F.max("mapq").alias("mapq"),
         F.sum("length").alias("length"),
         F.count("*").alias("reads"),
-        F.min_by(F.struct("ref_start", "ref_end"), "file_order").alias("f"),
-        F.max_by(F.struct("ref_start", "ref_end"), "file_order").alias("l"),
+        # numbers one by one, not as structs, so that pairs are hashed and not sorted
+        F.min_by("ref_start", "file_order").alias("f_start"),
+        F.min_by("ref_end", "file_order").alias("f_end"),
+        F.max_by("ref_start", "file_order").alias("l_start"),
+        F.max_by("ref_end", "file_order").alias("l_end"),
     )
-    forward = F.col("l.ref_end") - F.col("f.ref_start")
-    insert = F.when(F.col("l.ref_end") > F.col("f.ref_start"), forward).otherwise(F.col("f.ref_end") - F.col("l.ref_start"))
+    forward = F.col("l_end") - F.col("f_start")
+    insert = F.when(F.col("l_end") > F.col("f_start"), forward).otherwise(F.col("f_end") - F.col("l_start"))
     one = F.col("reads") == 1
     return agg.select(
         "scaffold", "pair", "nm",
         F.when(F.col("reads") == 2, insert).otherwise(F.lit(NO_INSERT)).cast("long").alias("insert_distance"),
         "mapq", "length", "reads",
-        F.when(one, F.col("f.ref_start")).otherwise(F.lit(0)).cast("long").alias("start"),
-        F.when(one, F.col("f.ref_end")).otherwise(F.lit(0)).cast("long").alias("stop"),
+        F.when(one, F.col("f_start")).otherwise(F.lit(0)).cast("long").alias("start"),
+        F.when(one, F.col("f_end")).otherwise(F.lit(0)).cast("long").alias("stop"),
     )
 
 

@@ -52,8 +52,10 @@ def query(name: str, sql: str | None = None, ctes: str = "", doubles: str = ""):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             _MADE.clear()
+            ad.SCHEMAS.clear()
             df = f(spark, sf_dir)
             _MADE.clear()
+            ad.SCHEMAS.clear()
             return df.withColumns({c: F.round(c, PLACES) + F.lit(0.0) for c in cols}) if cols else df
 
         QUERIES[name] = run
