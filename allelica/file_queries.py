@@ -115,7 +115,7 @@ def _s12(spark, sf):
     lines = [("coverage a b",), *((" ".join(repr(x) for x in row),) for row in _DEPTHS)]
     path = written(F.col("v"), spark.createDataFrame(lines, "v string").coalesce(1), "null.txt")
     model = nullmodel.from_table(text.null_model(spark, path))
-    return spark.range(1, 60).select(F.col("id").alias("coverage"), nullmodel.min_bases(F.col("id"), model).alias("min_bases"))
+    return spark.range(1, 60).select(F.col("id").alias("coverage"), nullmodel.min_bases("id", model).alias("min_bases"))
 
 
 @query("s13_annotations", "SELECT gene, anno FROM anno", "anno")

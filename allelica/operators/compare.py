@@ -74,8 +74,13 @@ def snp_table(snv: DataFrame) -> DataFrame:
 
 
 def _present(base: Column, side: int, min_freq: float) -> Column:
-    depth = sum(F.col(f"{b}_{side}") for b in BASES)
-    return F.coalesce(present(count_of_side(base, side), depth, min_bases(depth), min_freq), F.lit(False))
+    return F.coalesce(present(count_of_side(base, side), F.col(f"depth_{side}"), F.col(f"need_{side}"), min_freq), F.lit(False))
+
+
+def with_needs(d: DataFrame) -> DataFrame:
+    """Adds each side's depth, and the reads that a base needs to be present."""
+    d = d.withColumns({f"depth_{k}": F.expr(" + ".join(f"{b}_{k}" for b in BASES)) for k in (1, 2)})
+    return d.withColumns({f"need_{k}": min_bases(f"depth_{k}") for k in (1, 2)})
 
 
 def count_of_side(base: Column, side: int) -> Column:
@@ -96,7 +101,8 @@ def consensus_snp() -> Column:
 def population_snp(min_freq: float = MIN_FREQ) -> Column:
     """No allele is shared: neither consensus is present in the other sample, and not both have the same variant.
 
-    Where only one sample has a call, the other is taken to have the reference base.
+    Where only one sample has a call, the other is taken to have the reference base.  Expects
+    ``depth_1``, ``need_1`` and so on, see :func:`with_needs`.
     """
     has1, has2 = F.col("con_base_1").isNotNull(), F.col("con_base_2").isNotNull()
     only = lambda k: ~_present(F.col(f"ref_base_{k}"), k, min_freq)
@@ -115,10 +121,10 @@ def snp_differences(sites: DataFrame, table: DataFrame, min_freq: float = MIN_FR
     shared = sites.where("in_name1 and in_name2").select(*by, "mm", "position")
     side = lambda k: table.select(F.col("sample").alias(f"name{k}"), "scaffold", "position", *[F.col(c).alias(f"{c}_{k}") for c in ("ref_base", "con_base", "var_base", "allele_count", *BASES)])
     d = shared.join(side(1), ["scaffold", "name1", "position"], "left").join(side(2), ["scaffold", "name2", "position"], "left")
-    d = d.where(F.col("con_base_1").isNotNull() | F.col("con_base_2").isNotNull())
+    d = with_needs(d.where(F.col("con_base_1").isNotNull() | F.col("con_base_2").isNotNull()))
     d = d.withColumns({"consensus_SNP": consensus_snp(), "population_SNP": population_snp(min_freq)}).where("consensus_SNP or population_SNP")
     each = [F.col(f"{c}_{k}") for k in (1, 2) for c in ("con_base", "ref_base", "var_base")]
-    depth = [sum(F.col(f"{b}_{k}") for b in BASES).alias(f"position_coverage_{k}") for k in (1, 2)]
+    depth = [F.col(f"depth_{k}").alias(f"position_coverage_{k}") for k in (1, 2)]
     return d.select(*by, "mm", "position", *each, *depth, *[f"{b}_{k}" for k in (1, 2) for b in BASES], "consensus_SNP", "population_SNP")
 
 

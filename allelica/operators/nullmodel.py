@@ -50,19 +50,17 @@ def from_table(rows: list[tuple[int, list[float]]], fdr: float = FDR) -> tuple[t
     return tuple(out)
 
 
-def min_bases(depth: Column, model: tuple[tuple[int, int], ...] | None = None) -> Column:
-    """Reads needed at ``depth``, as nested conditions: nothing to join. Deeper sites than the model's keep its last value."""
+def min_bases(depth: str, model: tuple[tuple[int, int], ...] | None = None) -> Column:
+    """Reads needed at ``depth`` (an expression), as nested conditions: nothing to join. Deeper sites than the model's keep its last value."""
     model = model or steps()
-    out = F.when(depth >= model[-1][0], model[-1][1]) if len(model) > 1 else F.lit(model[0][1])
-    for n, k in reversed(model[1:-1]):
-        out = out.when(depth >= n, k)
-    return out.otherwise(model[0][1]) if len(model) > 1 else out
+    cases = " ".join(f"WHEN {depth} >= {n} THEN {k}" for n, k in reversed(model[1:]))
+    return F.expr(f"CASE {cases} ELSE {model[0][1]} END" if cases else f"{model[0][1]}")
 
 
 def table(spark: SparkSession, deepest: int = DEEPEST, fdr: float = FDR) -> DataFrame:
     """``coverage``, ``min_bases`` for 1 to ``deepest - 1``."""
     d = spark.range(1, deepest).select(F.col("id").alias("coverage"))
-    return d.withColumn("min_bases", min_bases(F.col("coverage"), steps(fdr, ERROR, deepest)))
+    return d.withColumn("min_bases", min_bases("coverage", steps(fdr, ERROR, deepest)))
 
 
 def _between(column: str, low: float, high: float) -> Column:

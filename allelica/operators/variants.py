@@ -31,7 +31,7 @@ def evaluate_sites(cum: DataFrame, min_cov: int = MIN_COV, min_freq: float = MIN
     A site is called if several alleles are present, none is, or the only one isn't the reference's.
     """
     d = cum.withColumn("position_coverage", total()).where(F.col("position_coverage") >= min_cov)
-    d = d.withColumn("_need", min_bases(F.col("position_coverage"), model))
+    d = d.withColumn("_need", min_bases("position_coverage", model))
     here = lambda b: present(F.col(b), F.col("position_coverage"), F.col("_need"), min_freq)
     alleles = sum(here(b).cast("int") for b in BASES)
     d = d.withColumn("allele_count", alleles).withColumn("con_base", consensus())

@@ -85,7 +85,7 @@ def test_consensus_and_population(spark, one, two, con, pop):
         c, v, a, n = x or (None, None, None, (None,) * 4)
         row |= {f"con_base_{k}": c, f"var_base_{k}": v, f"allele_count_{k}": a, f"ref_base_{k}": "G" if x else None} | {f"{b}_{k}": m for b, m in zip("ACTG", n)}
     kinds = ", ".join(f"{c} {'long' if c[0] in 'ACTG' and c[1] == '_' else 'int' if 'count' in c else 'string'}" for c in row)
-    r = spark.createDataFrame([tuple(row.values())], kinds).select(compare.consensus_snp().alias("con"), compare.population_snp().alias("pop")).first()
+    r = compare.with_needs(spark.createDataFrame([tuple(row.values())], kinds)).select(compare.consensus_snp().alias("con"), compare.population_snp().alias("pop")).first()
     assert (r.con, r.pop) == (con, pop)
 
 
