@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 PARTITION_BYTES = 64 << 20
 #: Rows of a few numbers that are broadcast, at most; rows that make a class hot.
 SMALL_ROWS, HOT_ROWS = 200_000, 2_000
-#: Modulus and multiplier of :func:`id_bucket`.
-_PRIME, _TIMES = 2147483647, 40503
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -56,9 +54,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def id_bucket(column: Column, buckets: int, other: Column) -> Column:
-    """A bucket for an integer id; null ids are dealt by ``other``."""
-    h = F.pmod(F.pmod(column.cast("long"), F.lit(_PRIME)) * F.lit(_TIMES), F.lit(_PRIME))
-    return F.pmod(F.coalesce(h, F.xxhash64(other)), F.lit(buckets)).cast("int")
+    """A bucket for an integer id, from all bits of its hash; null ids are dealt by ``other``."""
+    h = F.when(column.isNotNull(), F.xxhash64(column.cast("long"))).otherwise(F.xxhash64(other))
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
 def hash_buckets(values: np.ndarray, buckets: int) -> np.ndarray:

@@ -2,7 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from allelica.llm.common import id_bucket
 from allelica.llm.substring import remove_repeated, repeat_lengths
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,3 +81,10 @@ def test_doubling_until_nothing_survives(spark):
         want |= dict.fromkeys(hit, size)
         size *= 2
     assert got == want
+
+
+@pytest.mark.parametrize("buckets", [24, 23, 102])
+def test_small_ids_are_dealt_to_all_buckets(spark, buckets):
+    df = spark.range(40_000).select(id_bucket(F.col("id"), buckets, F.lit("x")).alias("b"))
+    n = [r["count"] for r in df.groupBy("b").count().collect()]
+    assert len(n) == buckets and max(n) < 1.5 * 40_000 / buckets
