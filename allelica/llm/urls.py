@@ -5,11 +5,11 @@ one of rejected URLs, are smoothed by Witten-Bell interpolation: each order
 backs off to the next lower one by the number of different bytes that followed
 its context.  A URL that no rule decides is allowed where the difference of
 the two log-likelihoods, divided by its length, reaches a threshold that is
-calibrated on labelled URLs kept out of the fit.
+calibrated on labelled URLs, each scored by counts that leave out its fold.
 
-Counts are tables: every different URL that a rule decides is counted, and
-pages are scored in slices, which ask for the weight of each of their
-different byte sequences once.
+Counts are tables: every different URL that a rule decides is counted and
+calibrates, and pages are scored in slices, which ask for the weight of each of
+their different byte sequences once.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from allelica.llm.common import cut
 from allelica.llm.textblocks import buffers
 
-#: Bytes of context, at most; labelled URLs of each kind that the calibration's share is taken of, at most.
-ORDER, PER_CLASS = 5, 10_000
-#: Of every so many labelled URLs one is kept for calibration.
+#: Bytes of context, at most.
+ORDER = 5
+#: Folds of the labelled URLs; of every so many one is kept for calibration, where only some are.
 HELD_OUT = 5
 #: Pages that are scored at once, about.
 SLICE = 8000
 _START = 0
+#: Bits of a number of context and byte, which a fold's stand above.
+_FOLD = 59
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -157,29 +159,57 @@ class Tables:
         self.counts, self.sure, self.threshold = counts, sure, 0.0
 
 
-def train(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", per_class: int = PER_CLASS) -> Tables:
-    """Fits the models on all different URLs that rules decide, but for those that calibrate the threshold.
+def train(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", per_class: int | None = None) -> Tables:
+    """Fits the models on all different URLs that rules decide, and calibrates the threshold on all of them.
 
-    These are one in ``HELD_OUT`` of each verdict, of ``per_class`` URLs at most: those with the least hash.
+    For the threshold a URL is scored by the counts of the other of ``HELD_OUT`` folds.  With ``per_class`` only one in
+    ``HELD_OUT`` of so many URLs of each verdict, at most, calibrate: those with the least hash, which aren't counted.
     """
     d = _ruled(pages.select(F.col(url_col).cast("string").alias("url")), rules).where(F.col("by_rule").isNotNull()).select("url", (F.col("by_rule") == "allow").alias("good")).distinct()
     d = cut(d.withColumn("h", F.xxhash64("url")))
     n = {r.good: r["count"] for r in d.groupBy("good").count().collect()}
     if len(n) < 2:
         return Tables(None, next(iter(n), True))
-    held = F.lit(False)
-    for kind in (True, False):
-        least = d.where(F.col("good") == kind).select("h").orderBy("h").limit(min(per_class, n[kind]) // HELD_OUT).collect()
-        if least:
-            held = held | ((F.col("good") == kind) & (F.col("h") <= least[-1].h))
-    fit = d.where(~held).select("url", "good").mapInArrow(_count, "pair long, good long, bad long")
-    model = Tables(cut(fit.groupBy("pair").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))), None)
-    got = d.where(held).select(F.col("good").cast("long").alias("id"), "url")
-    got = _ratios(got, model.counts).select("id", "ratio").toPandas()
-    model.threshold = _cut(got["ratio"].to_numpy(), got["id"].to_numpy() == 1)
+    if per_class is None:
+        fold, folds, fitted, held = F.pmod("h", F.lit(HELD_OUT)), HELD_OUT, F.lit(True), F.lit(True)
+    else:
+        last = {kind: d.where(F.col("good") == kind).select("h").orderBy("h").limit(min(per_class, n[kind]) // HELD_OUT).collect()[-1:] for kind in (True, False)}
+        kept = F.lit(False)
+        for kind, row in last.items():
+            kept = kept | ((F.col("good") == kind) & (F.col("h") <= row[0].h)) if row else kept
+        fold, folds, fitted, held = F.when(kept, 0).otherwise(1), 2, F.col("fold") != 0, F.col("fold") == 0
+    d = d.select("url", "good", fold.cast("int").alias("fold"))
+    counts = d.mapInArrow(_count, "fold int, pair long, good long, bad long").groupBy("fold", "pair").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = cut(counts)
+    model = Tables(cut(counts.where(fitted).groupBy("pair").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))), None)
+    others = F.filter(F.array(*[F.lit(f) for f in range(folds)]), lambda f: f != F.col("fold"))
+    got = _ratios(d.where(held).select(F.col("good").cast("long").alias("id"), "url", "fold"), counts.select(F.explode(others).alias("fold"), "pair", "good", "bad"))
+    model.threshold = _threshold(got.select("id", "ratio"))
     return model
 
 
+def _threshold(scored: DataFrame) -> float:
+    """:func:`_cut` over a table of ratios, ``id`` being 1 for good ones; only sums of ranges reach the driver."""
+    d = cut(scored.groupBy("ratio").agg(F.sum("id").alias("good"), F.sum(1 - F.col("id")).alias("bad")))
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(d.repartitionByRange(parts, "ratio").withColumn("part", F.spark_partition_id()))
+    before, good, bad = [], 0, 0
+    for r in d.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").collect():
+        before.append((r.part, good, bad))
+        good, bad = good + r.good, bad + r.bad
+    if not good or not bad:
+        return 0.0
+    start = d.sparkSession.createDataFrame(before, "part int, good_before long, bad_before long")
+    to_here = Window.partitionBy("part").orderBy("ratio").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lost, blocked = (F.sum(kind).over(to_here) + F.col(f"{kind}_before") for kind in ("good", "bad"))
+    error = (lost * F.lit(bad) - blocked * F.lit(good)).alias("error")
+    best, least = d.join(F.broadcast(start), "part").select(error, "ratio").agg(F.min(F.struct("error", "ratio")), F.min("ratio")).first()
+    if best.error >= 0:
+        return least - 1e-9
+    above = d.where(F.col("ratio") > best.ratio).agg(F.min("ratio")).first()[0]
+    return best.ratio + 1e-9 if above is None else (best.ratio + above) / 2
+
+
 def _pairs(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each byte: its context of 0 to ``ORDER`` bytes and itself, as one number."""
     contexts, byte = _contexts(data, offsets)
@@ -190,11 +220,12 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = batch["good"].to_numpy(zero_copy_only=False).astype(bool)
         data, off = buffers(batch["url"])
-        kind = np.repeat(good, np.diff(off))
-        pair, at = np.unique(np.concatenate(_pairs(data, off)), return_inverse=True)
+        kind, fold = (np.repeat(a, np.diff(off)) for a in (good, batch["fold"].to_numpy().astype(np.int64)))
+        pair, at = np.unique(np.concatenate(_pairs(data, off)) | np.tile(fold, ORDER + 1) << _FOLD, return_inverse=True)
         kind = np.tile(kind, ORDER + 1)
         n = [np.bincount(at[k], minlength=len(pair)).astype(np.int64) for k in (kind, ~kind)]
-        yield pa.record_batch([pa.array(pair), *map(pa.array, n)], names=["pair", "good", "bad"])
+        own = [pa.array((pair >> _FOLD).astype(np.int32)), pa.array(pair & ((1 << _FOLD) - 1))]
+        yield pa.record_batch([*own, *map(pa.array, n)], names=["fold", "pair", "good", "bad"])
 
 
 def _asked(t: pa.Table) -> pa.Table:
@@ -218,13 +249,14 @@ def _at_order(pair: Column, k: int) -> Column:
     return F.shiftleft(ctx.bitwiseOR(F.lit(k + 1 << 48)), 8).bitwiseOR(pair.bitwiseAND(F.lit(255)))
 
 
-def _weights(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """Differences of the logarithms of both models' probabilities (``weight``) of the ``pair`` numbers asked for."""
+def _weights(asked: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """Differences of the logarithms of both models' probabilities (``weight``) of the ``pair`` numbers asked for; models of their own for each ``by``."""
+    keys = [*by, "pair"]
     zero = F.lit(0).cast("long")
-    wanted = asked.select("pair").distinct().select(F.explode(F.array(*[_at_order(F.col("pair"), k) for k in range(ORDER + 1)])).alias("pair")).distinct()
-    both = wanted.select("pair", zero.alias("good"), zero.alias("bad"), F.lit(1).alias("wanted")).unionByName(counts.select("pair", "good", "bad", F.lit(0).alias("wanted")))
-    both = both.groupBy("pair").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("wanted").alias("wanted"))
-    of = Window.partitionBy(F.shiftright("pair", 8))
+    wanted = asked.select(*keys).distinct().select(*by, F.explode(F.array(*[_at_order(F.col("pair"), k) for k in range(ORDER + 1)])).alias("pair")).distinct()
+    both = wanted.select(*keys, zero.alias("good"), zero.alias("bad"), F.lit(1).alias("wanted")).unionByName(counts.select(*keys, "good", "bad", F.lit(0).alias("wanted")))
+    both = both.groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("wanted").alias("wanted"))
+    of = Window.partitionBy(*by, F.shiftright("pair", 8))
     for kind in ("good", "bad"):
         both = both.withColumns({f"{kind}_total": F.sum(kind).over(of), f"{kind}_kinds": F.sum(F.when(F.col(kind) > 0, 1).otherwise(0)).over(of)})
     both = cut(both.where("wanted = 1").drop("wanted"))
@@ -234,18 +266,24 @@ def _weights(asked: DataFrame, counts: DataFrame) -> DataFrame:
         if lower is None:
             level = level.withColumns({"p_good": F.lit(1 / 256), "p_bad": F.lit(1 / 256)})
         else:
-            level = level.withColumn("up", _at_order(F.col("pair"), k - 1)).join(lower, "up")
+            level = level.withColumn("up", _at_order(F.col("pair"), k - 1)).join(lower, [*by, "up"])
         p = {kind: F.when(F.col(f"{kind}_total") > 0, (F.col(kind) + F.col(f"{kind}_kinds") * F.col(f"p_{kind}")) / (F.col(f"{kind}_total") + F.col(f"{kind}_kinds"))).otherwise(F.col(f"p_{kind}")) for kind in ("good", "bad")}
-        lower = level.select(F.col("pair").alias("up"), p["good"].alias("p_good"), p["bad"].alias("p_bad"))
-    return lower.select(F.col("up").alias("pair"), (F.log("p_good") - F.log("p_bad")).alias("weight"))
+        lower = level.select(*by, F.col("pair").alias("up"), p["good"].alias("p_good"), p["bad"].alias("p_bad"))
+    return lower.select(*by, F.col("up").alias("pair"), (F.log("p_good") - F.log("p_bad")).alias("weight"))
 
 
 def _ratios(d: DataFrame, counts: DataFrame) -> DataFrame:
-    """``id`` and ``url`` with the difference of log-likelihoods, divided by the length (0 for an empty or null URL)."""
-    slices = max(1, -(-d.count() // SLICE))
-    d = d.withColumn("slice", F.pmod(F.xxhash64("id", "url"), F.lit(slices)))
+    """``id`` and ``url`` with the difference of log-likelihoods, divided by the length (0 for an empty or null URL).
+
+    With a ``fold`` in both, the counts of a URL's own fold are taken.
+    """
+    by = ["fold"] if "fold" in d.columns else []
+    slices = max(1, -(-d.count() // (SLICE * (HELD_OUT if by else 1))))
+    own = F.pmod(F.xxhash64("id", "url"), F.lit(slices))
+    d = d.withColumn("slice", F.col("fold") * slices + own if by else own)
     asked = cut(d.groupBy("slice").applyInArrow(_asked, "slice long, pair long"))
-    weights = asked.join(_weights(asked, counts), "pair")
+    asked = asked.withColumn("fold", F.floor(F.col("slice") / slices).cast("int")) if by else asked
+    weights = asked.join(_weights(asked, counts, by), [*by, "pair"]).select("slice", "pair", "weight")
     return d.groupBy("slice").cogroup(weights.groupBy("slice")).applyInArrow(_sum, "id long, url string, ratio double")
 
 
