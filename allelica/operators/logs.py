@@ -59,13 +59,17 @@ def failures(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.where(F.col("status") == "failure").groupBy(*keys).agg(F.count("*").alias("failures"), F.count_distinct("unit").alias("units"))
 
 
-def bytes_text(n: Column) -> Column:
-    """Bytes as text with one decimal and a unit, in steps of 1024; halves round to even."""
+BYTE_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB"]
+
+
+def bytes_text(n: Column, largest: str = "YiB") -> Column:
+    """Bytes as text with one decimal and a unit up to ``largest``, in steps of 1024; halves round to even."""
     size = n.cast("double")
-    text = lambda x, unit: F.format_string("%.1f%s", F.bround(x, 1), F.lit(unit))
-    out = text(size / 1024.0**8, "YiB")
-    for k, u in reversed(list(enumerate(["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB"]))):
-        out = F.when(F.abs(size) < 1024.0 ** (k + 1), text(size / 1024.0**k, u)).otherwise(out)
+    text = lambda k: F.format_string("%.1f%s", F.bround(size / 1024.0**k, 1), F.lit(BYTE_UNITS[k]))
+    last = BYTE_UNITS.index(largest)
+    out = text(last)
+    for k in reversed(range(last)):
+        out = F.when(F.abs(size) < 1024.0 ** (k + 1), text(k)).otherwise(out)
     return out
 
 
