@@ -1,9 +1,12 @@
 """Faults that only larger tables show, on small ones."""
 
+import time
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from allelica.sources import alignments
 
 
 def test_sizes_above_a_tebibyte(spark, tmp_path):
@@ -14,3 +17,17 @@ def test_sizes_above_a_tebibyte(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     assert got == set(con.execute(entry.oracle_sql()["r9_bytes"]).fetchall())
+
+
+def test_long_reads_pile_up_in_proportion(spark):
+    """A base's cost doesn't grow with its place in the read: counted from the start, these take minutes."""
+    n = 300_000
+    d = spark.range(2).select(
+        F.lit("s").alias("scaffold"), F.concat(F.lit("r"), "id").alias("read_name"), F.lit(5).cast("long").alias("ref_start"), F.lit(f"{n}M").alias("cigar"),
+        F.repeat(F.lit("ACTGN"), n // 5).alias("sequence"), F.repeat(F.lit("I5I"), n // 3).alias("quality"), F.col("id").alias("file_order"),
+    )
+    began = time.perf_counter()
+    got = alignments.pileup(d).agg(F.count("*"), F.min("position"), F.max("position"), F.count_if(F.col("base") == "A")).first()
+    kept = [k for k in range(n) if k % 3 != 1 and k % 5 != 4]
+    assert tuple(got) == (2 * len(kept), 5 + kept[0], 5 + kept[-1], 2 * sum(k % 5 == 0 for k in kept))
+    assert time.perf_counter() - began < 30
