@@ -31,3 +31,22 @@ def test_long_reads_pile_up_in_proportion(spark):
     kept = [k for k in range(n) if k % 3 != 1 and k % 5 != 4]
     assert tuple(got) == (2 * len(kept), 5 + kept[0], 5 + kept[-1], 2 * sum(k % 5 == 0 for k in kept))
     assert time.perf_counter() - began < 30
+
+
+def test_bam_is_written_without_results(spark, tmp_path, monkeypatch):
+    """Members of a file are no results of tasks, whatever the number of parts and of empty ones."""
+    rows = [("s1" if k % 2 else "s0", f"r{k}", 0, 60, 100, k, k + 99, 0, "100M", "ACGTA" * 20, "I" * 100, k) for k in range(5000)]
+    d = spark.createDataFrame(rows, alignments.READS)
+    lens = spark.createDataFrame([("s0", 9000), ("s1", 9000)], "scaffold string, length long")
+    monkeypatch.setattr(type(d), "toLocalIterator", lambda *_: (_ for _ in ()).throw(AssertionError("members sent to the driver")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for name, part in (("all", d), ("few", d.where("file_order < 3")), ("none", d.where("file_order < 0"))):
+            path = str(tmp_path / f"{name}.bam")
+            alignments.write_bam(part, lens, path)
+            got = alignments.bam(spark, path).orderBy("file_order").collect()
+            assert [tuple(r)[:11] for r in got] == [tuple(r)[:11] for r in part.orderBy("scaffold", "ref_start", "file_order").collect()], name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
