@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 from allelica.functions.bases import BASES, present, ratio
 from allelica.operators.nullmodel import min_bases
 from allelica.plans.lineage import cut
-from allelica.plans.mm import collapse
+from allelica.plans.mm import collapse, cumulate
 
 MIN_COV, MIN_FREQ = 5, 0.05
+PAIR = ["scaffold", "name1", "name2"]
+#: What a comparison takes of a call.
+CALL = ["ref_base", "con_base", "var_base", "allele_count", *BASES]
 
 
 def shared_scaffolds(coverage: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -36,35 +39,52 @@ def sample_pairs(coverage: DataFrame, samples: DataFrame | None = None, self_com
     return a.join(b, "scaffold").where(cond).select("scaffold", "name1", "name2")
 
 
-def overlap_sites(coverage: DataFrame, pairs: DataFrame, min_cov: int = MIN_COV) -> DataFrame:
-    """For each pair, level and position that either sample covers enough: whether each does.
+def pair_levels(coverage: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Levels of each pair: those that either sample has on the scaffold."""
+    levels = coverage.select("sample", "scaffold", "mm").distinct()
+    one, two = (pairs.join(levels.withColumnRenamed("sample", n), [n, "scaffold"]).select(*PAIR, "mm") for n in ("name1", "name2"))
+    return one.unionByName(two).distinct()
 
-    Levels are those that either sample has on the scaffold.
+
+def overlap_sites(coverage: DataFrame, table: DataFrame | None = None, min_cov: int = MIN_COV) -> DataFrame:
+    """Each sample's positions that it covers enough: from which level on, and its call in ``table``, if there is one.
+
+    Depth doesn't fall with levels, so a position has one row, whatever the number of levels and pairs.
     """
-    own = ["sample", "scaffold"]
-    levels = coverage.select(*own, "mm").distinct()
-    one, two = (pairs.join(levels.withColumnRenamed("sample", n), [n, "scaffold"]).select("scaffold", "name1", "name2", "mm") for n in ("name1", "name2"))
-    by = ["scaffold", "name1", "name2"]
-    levels = one.unionByName(two).distinct()
-
-    # each sample's depths once, whatever the number of its pairs: from which level on, and up to which, a position is covered enough
-    w = Window.partitionBy(*own, "position").orderBy("mm")
+    w = Window.partitionBy("sample", "scaffold", "position").orderBy("mm")
     depth = F.sum("coverage").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    c = coverage.select(*own, "position", F.col("mm").alias("_from"), depth.alias("_depth"), F.lead("mm").over(w).alias("_next")).where(F.col("_depth") >= min_cov)
+    d = coverage.select("sample", "scaffold", "position", F.col("mm").alias("from"), "coverage", depth.alias("_depth"))
+    d = d.where((F.col("_depth") >= min_cov) & (F.col("_depth") - F.col("coverage") < min_cov)).select("sample", "scaffold", "position", "from")
+    return d if table is None else d.join(table.select("sample", "scaffold", "position", *CALL), ["sample", "scaffold", "position"], "left")
+
 
-    def side(name: str) -> DataFrame:
-        inside = (F.col("mm") >= F.col("_from")) & (F.col("_next").isNull() | (F.col("mm") < F.col("_next")))
-        return levels.join(c.withColumnRenamed("sample", name), [name, "scaffold"]).where(inside).select(*by, "position", "mm", F.lit(True).alias(f"in_{name}"))
+def paired_sites(sites: DataFrame, columns: list[str] = ()) -> DataFrame:
+    """Each two samples at each position that both cover enough, in both orders and with themselves, ``mm`` the level from which on; ``columns`` of either get its number."""
+    side = lambda k: sites.select("scaffold", "position", F.col("sample").alias(f"name{k}"), F.col("from").alias(f"from_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    d = side(1).join(side(2), ["scaffold", "position"])
+    return d.withColumn("mm", F.greatest("from_1", "from_2")).drop("from_1", "from_2")
 
-    d = side("name1").join(side("name2"), [*by, "position", "mm"], "full")
-    return d.fillna(False, ["in_name1", "in_name2"])
 
+def coverage_overlap(sites: DataFrame, levels: DataFrame, min_freq: float = MIN_FREQ) -> DataFrame:
+    """Positions both cover over positions either covers, at each level, and how many of them differ by consensus and by population.
 
-def coverage_overlap(sites: DataFrame) -> DataFrame:
-    """Positions both cover over positions either covers, at each level."""
-    return sites.groupBy("scaffold", "name1", "name2", "mm").agg(
-        F.count_if(F.col("in_name1") & F.col("in_name2")).alias("compared_bases_count"), F.count("*").alias("either")
-    ).select("scaffold", "name1", "name2", "mm", "compared_bases_count", F.coalesce(ratio(F.col("compared_bases_count"), F.col("either")), F.lit(0.0)).alias("coverage_overlap"))
+    Positions count where they begin to, and add up over levels. With sites of no calls there are no differences.
+    """
+    calls = "con_base" in sites.columns
+    # numbers don't depend on the order of a pair
+    d = paired_sites(sites, CALL if calls else []).where("name1 <= name2")
+    d = with_snps(d, min_freq) if calls else d.withColumns({"consensus_SNP": F.lit(False), "population_SNP": F.lit(False)})
+    both = d.groupBy("scaffold", F.col("name1").alias("_low"), F.col("name2").alias("_high"), "mm").agg(F.count("*").alias("both"), F.count_if("consensus_SNP").alias("consensus_SNPs"), F.count_if("population_SNP").alias("population_SNPs"))
+    own, pairs, none = sites.groupBy("scaffold", "sample", F.col("from").alias("mm")).agg(F.count("*").alias("own")), levels.select(*PAIR).distinct(), F.lit(0).cast("long")
+    names = ["both", "own", "consensus_SNPs", "population_SNPs"]
+    row = lambda df: df.select(*PAIR, "mm", *[c if c in df.columns else none.alias(c) for c in names])
+    named = pairs.withColumns({"_low": F.least("name1", "name2"), "_high": F.greatest("name1", "name2")})
+    changes = row(levels).unionByName(row(both.join(named, ["scaffold", "_low", "_high"])))
+    for n in ("name1", "name2"):
+        changes = changes.unionByName(row(pairs.join(own.withColumnRenamed("sample", n), ["scaffold", n])))
+    d = cumulate(changes.groupBy(*PAIR, "mm").agg(*[F.sum(c).alias(c) for c in names]), PAIR, names)
+    either = F.col("own") - F.col("both")
+    return d.where(either > 0).select(*PAIR, "mm", F.col("both").alias("compared_bases_count"), F.coalesce(ratio(F.col("both"), either), F.lit(0.0)).alias("coverage_overlap"), *names[2:])
 
 
 def snp_table(snv: DataFrame) -> DataFrame:
@@ -115,27 +135,29 @@ def population_snp(min_freq: float = MIN_FREQ) -> Column:
     )
 
 
-def snp_differences(sites: DataFrame, table: DataFrame, min_freq: float = MIN_FREQ) -> DataFrame:
-    """Positions covered by both that differ by consensus or by population, at each level."""
-    by = ["scaffold", "name1", "name2"]
-    shared = sites.where("in_name1 and in_name2").select(*by, "mm", "position")
-    side = lambda k: table.select(F.col("sample").alias(f"name{k}"), "scaffold", "position", *[F.col(c).alias(f"{c}_{k}") for c in ("ref_base", "con_base", "var_base", "allele_count", *BASES)])
-    d = shared.join(side(1), ["scaffold", "name1", "position"], "left").join(side(2), ["scaffold", "name2", "position"], "left")
-    d = with_needs(d.where(F.col("con_base_1").isNotNull() | F.col("con_base_2").isNotNull()))
-    d = d.withColumns({"consensus_SNP": consensus_snp(), "population_SNP": population_snp(min_freq)}).where("consensus_SNP or population_SNP")
+def with_snps(paired: DataFrame, min_freq: float = MIN_FREQ) -> DataFrame:
+    """Adds ``consensus_SNP`` and ``population_SNP``; sites that neither sample has a call of don't differ."""
+    called = F.col("con_base_1").isNotNull() | F.col("con_base_2").isNotNull()
+    d = with_needs(paired)
+    return d.withColumns({"consensus_SNP": F.coalesce(called & consensus_snp(), F.lit(False)), "population_SNP": F.coalesce(called & population_snp(min_freq), F.lit(False))})
+
+
+def snp_differences(sites: DataFrame, levels: DataFrame, min_freq: float = MIN_FREQ) -> DataFrame:
+    """Positions covered by both that differ by consensus or by population, at each level from the one on from which both cover them."""
+    d = paired_sites(sites, CALL).where(F.col("con_base_1").isNotNull() | F.col("con_base_2").isNotNull())
+    d = with_snps(d, min_freq).where("consensus_SNP or population_SNP").withColumnRenamed("mm", "_from")
     each = [F.col(f"{c}_{k}") for k in (1, 2) for c in ("con_base", "ref_base", "var_base")]
     depth = [F.col(f"depth_{k}").alias(f"position_coverage_{k}") for k in (1, 2)]
-    return d.select(*by, "mm", "position", *each, *depth, *[f"{b}_{k}" for k in (1, 2) for b in BASES], "consensus_SNP", "population_SNP")
+    d = d.join(levels, PAIR).where(F.col("mm") >= F.col("_from"))
+    return d.select(*PAIR, "mm", "position", *each, *depth, *[f"{b}_{k}" for k in (1, 2) for b in BASES], "consensus_SNP", "population_SNP")
 
 
-def scaffold_comparison(overlap: DataFrame, differences: DataFrame, lengths: DataFrame) -> DataFrame:
+def scaffold_comparison(overlap: DataFrame, lengths: DataFrame) -> DataFrame:
     """One row for each pair, scaffold and level, also without any SNP; ANIs are null without compared bases."""
-    by = ["scaffold", "name1", "name2", "mm"]
-    n = differences.groupBy(*by).agg(F.count_if("consensus_SNP").alias("consensus_SNPs"), F.count_if("population_SNP").alias("population_SNPs"))
-    d = overlap.join(n, by, "left").fillna(0, ["consensus_SNPs", "population_SNPs"]).join(lengths, "scaffold")
+    d = overlap.join(lengths, "scaffold")
     bases = F.col("compared_bases_count")
     return d.select(
-        *by, "length", "coverage_overlap", "compared_bases_count", (bases / F.col("length")).alias("percent_genome_compared"), "consensus_SNPs", "population_SNPs",
+        *PAIR, "mm", "length", "coverage_overlap", "compared_bases_count", (bases / F.col("length")).alias("percent_genome_compared"), "consensus_SNPs", "population_SNPs",
         ratio(bases - F.col("consensus_SNPs"), bases).alias("conANI"), ratio(bases - F.col("population_SNPs"), bases).alias("popANI"),
     )
 

@@ -195,17 +195,17 @@ def compare(
     tables: dict[str, DataFrame] = {}
     if not skip_pop_ani:
         held = cov if self_comparisons else cov.join(cmp.shared_scaffolds(cov), "scaffold", "left_semi")
-        sites = cut(cmp.overlap_sites(cov, cmp.sample_pairs(held, self_comparisons=self_comparisons), min_cov))
-        overlap = cmp.coverage_overlap(sites)
-        differ = cut(cmp.snp_differences(sites, cmp.snp_table(snv), min_freq))
-        table = cut(cmp.scaffold_comparison(overlap, differ, lengths))
+        sites = cut(cmp.overlap_sites(cov, cmp.snp_table(snv), min_cov))
+        levels = cut(cmp.pair_levels(cov, cmp.sample_pairs(held, self_comparisons=self_comparisons)))
+        overlap = cut(cmp.coverage_overlap(sites, levels, min_freq))
+        table = cut(cmp.scaffold_comparison(overlap, lengths))
         whole = cut(cmp.genome_comparison(table, stb, genomes.genome_lengths(lengths, stb)))
         others = whole.where("name1 <> name2")
         tables |= {"comparisonsTable": collapse(table, ["scaffold", "name1", "name2"]).drop("mm"), "genomeWide_compare": whole, "strain_clusters": cluster.strain_clusters(others, ani, method, least_compared)}
         if mismatch_locations:
-            tables["pairwise_SNP_locations"] = collapse(differ, ["scaffold", "position", "name1", "name2"]).drop("mm")
+            tables["pairwise_SNP_locations"] = collapse(cmp.snp_differences(sites, levels, min_freq), ["scaffold", "position", "name1", "name2"]).drop("mm")
         if coverage_overlap:
-            tables["coverage_overlap"] = overlap
+            tables["coverage_overlap"] = overlap.drop("consensus_SNPs", "population_SNPs")
     if pool:
         mine = snv if only is None else snv.join(only.distinct(), "scaffold", "left_semi")
         called = cut(pooling.called_positions(mine))
