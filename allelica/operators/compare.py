@@ -51,17 +51,17 @@ def overlap_sites(coverage: DataFrame, table: DataFrame | None = None, min_cov:
 
     Depth doesn't fall with levels, so a position has one row, whatever the number of levels and pairs.
     """
-    w = Window.partitionBy("sample", "scaffold", "position").orderBy("mm")
+    w = Window.partitionBy("position", "sample", "scaffold").orderBy("mm")
     depth = F.sum("coverage").over(w.rowsBetween(Window.unboundedPreceding, 0))
     d = coverage.select("sample", "scaffold", "position", F.col("mm").alias("from"), "coverage", depth.alias("_depth"))
     d = d.where((F.col("_depth") >= min_cov) & (F.col("_depth") - F.col("coverage") < min_cov)).select("sample", "scaffold", "position", "from")
-    return d if table is None else d.join(table.select("sample", "scaffold", "position", *CALL), ["sample", "scaffold", "position"], "left")
+    return d if table is None else d.join(table.select("sample", "scaffold", "position", *CALL), ["position", "sample", "scaffold"], "left")
 
 
 def paired_sites(sites: DataFrame, columns: list[str] = ()) -> DataFrame:
     """Each two samples at each position that both cover enough, in both orders and with themselves, ``mm`` the level from which on; ``columns`` of either get its number."""
     side = lambda k: sites.select("scaffold", "position", F.col("sample").alias(f"name{k}"), F.col("from").alias(f"from_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-    d = side(1).join(side(2), ["scaffold", "position"])
+    d = side(1).join(side(2), ["position", "scaffold"])
     return d.withColumn("mm", F.greatest("from_1", "from_2")).drop("from_1", "from_2")
 
 
