@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from allelica.operators import compare, genes
+from allelica.operators import compare, genes, genomes
 from allelica.sources import adapter, alignments
 
 
@@ -96,3 +96,21 @@ def test_genes_in_proportion_to_their_number(spark, tmp_path):
 def test_sites_meet_few_genes():
     """Dense genes: a site isn't compared with all genes of a thousand positions."""
     assert genes.BIN <= 100
+
+
+def test_scaffold_table_is_made_once(spark):
+    """The genome table reads the scaffold table twice; it is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return x
+
+    names = ["breadth", "coverage", "nucl_diversity", "nucl_diversity_rarefied", "breadth_minCov"]
+    counts = ["SNS_count", "SNV_count", "divergent_site_count", "consensus_divergent_sites", "population_divergent_sites"]
+    d = spark.createDataFrame([("s", m, 100) for m in range(3)], "scaffold string, mm int, length long")
+    d = d.withColumns({c: F.lit(0.5) for c in names} | {c: F.lit(1) for c in counts}).select("scaffold", seen(F.col("mm").cast("double")).cast("int").alias("mm"), "length", *names, *counts)
+    stb = spark.createDataFrame([("s", "g")], "scaffold string, genome string")
+    got = genomes.genome_scaffold_info(d, stb, d.select("scaffold", "length").distinct(), []).collect()
+    assert sorted(r.mm for r in got) == [0, 1, 2] and made.value == 3
